@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality, secrets
+from . import bpe, chat, language, near, quality, secrets
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,20 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.unionByName(more)))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language.learn(docs))
+    return found.select("doc_id", language.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "base_failed", "kept")
@@ -30,6 +45,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
+    "op4_near_dedup": op4_near_dedup,
+    "op7_language_id": op7_language_id,
+    "op9_byte_bpe": op9_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
