@@ -7,9 +7,10 @@ LIMIT = chunks * (ERRORS + 1) - 1 has a chunk with at most ERRORS differing posi
 each choice of ERRORS positions left out, so every pair within LIMIT meets under a key. At a similarity of exactly 0.75
 a pair is beyond LIMIT (31 of 64) with a probability of about 1e-5, and less above.
 
-Links are confirmed on the full sets. Only components are asked for, so a bucket is first linked to its smallest member,
-best pairs first; afterwards only members of different components are compared, in tiles of bounded size, and only pairs
-within LIMIT leave a tile. All pairs within LIMIT that could join two components are thus confirmed or refuted.
+Pairs within LIMIT join nodes to families: a bucket's members first with its smallest, then, in buckets whose members are
+still in different families, all with all, in tiles of bounded size that return one edge for each union. Links are
+confirmed on the full sets of a family, all pairs of it, in such tiles too. So all pairs within LIMIT are confirmed or
+refuted, while rows grow with the nodes, not with the pairs.
 
 Cases: null or empty text, or text without words, has an empty set, is linked with nothing and is its own component; fewer
 than five words make one shingle; ids that are null take no part and return a null component_id and kept true; repeated
@@ -25,18 +26,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import cut
+from .shared import cut, of_ids
 
 WORDS, PERCENT = 5, 75
 POSITIONS, CHUNK, ERRORS = 64, 4, 1
 LIMIT = POSITIONS // CHUNK * (ERRORS + 1) - 1
-TILE = 512
-#: Bytes of text hashed at a time.
-SLICE = 4_000_000
+#: Rows of a part of a tile, and shingles.
+TILE, SHINGLES = 512, 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,56 +128,116 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v, d of rows u, v, su, sv that are within LIMIT."""
+    """u, v of rows u, v, su, sv that are within LIMIT."""
     for b in batches:
         if not b.num_rows:
             continue
         a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, POSITIONS) for k in (2, 3))
         d = (a != c).sum(axis=1)
         ok = np.flatnonzero(d <= LIMIT)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(d[ok].astype(np.int32))], ["u", "v", "d"])
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within LIMIT of different components and fitting sizes, from rows sorted by tile: key, i, j, side, node, n, comp, sig."""
-    def close(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows)
-        side, node, n, comp = (t.column(k).to_numpy() for k in (3, 4, 5, 6))
-        sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        tile = np.stack([t.column(k).to_numpy() for k in (0, 1, 2)])
-        cuts = np.concatenate(([0], np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1, [len(node)]))
-        us, vs = [], []
-        for a, z in zip(cuts, cuts[1:], strict=False):
-            whole = tile[1, a] == tile[2, a]
-            left = np.arange(a, z) if whole else a + np.flatnonzero(side[a:z] == 0)
-            right = left if whole else a + np.flatnonzero(side[a:z] == 1)
-            small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
-            x, y = np.nonzero((comp[left][:, None] != comp[right]) & (100 * small >= PERCENT * large) & ((node[left][:, None] < node[right]) | (not whole)))
-            for p in range(0, len(x), 65536):
-                i, j = left[x[p : p + 65536]], right[y[p : p + 65536]]
-                ok = (sig[i] != sig[j]).sum(axis=1) <= LIMIT
-                us.append(node[i[ok]])
-                vs.append(node[j[ok]])
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
-
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        # the last tile of a batch may go on in the next one
-        keys = np.stack([b.column(k).to_numpy() for k in (0, 1, 2)])
-        last = b.num_rows - np.argmax((keys != keys[:, -1:]).any(axis=0)[::-1]) if (keys != keys[:, -1:]).any() else 0
-        if last:
-            yield from close([*held, b.slice(0, last)])
-            held = []
-        elif held and any(held[0].column(k)[0] != b.column(k)[0] for k in (0, 1, 2)):
-            yield from close(held)
-            held = []
-        held.append(b.slice(last))
-    if held:
-        yield from close(held)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok))], ["u", "v"])
+
+
+def _by_tile(width: int, close):
+    """A function of Arrow batches sorted by their first `width` columns: calls close on the whole tiles of those so far."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held and any(held[-1].column(k)[0] != b.column(k)[0] for k in range(width)):
+                yield from close(pa.Table.from_batches(held))
+                held = []
+            # the last tile of a batch may go on in the next one
+            same = np.ones(b.num_rows, bool)
+            for k in range(width):
+                v = b.column(k).to_numpy()
+                same &= v == v[-1]
+            last = 0 if same.all() else b.num_rows - int(np.argmin(same[::-1]))
+            if last:
+                yield from close(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from close(pa.Table.from_batches(held))
+
+    return run
+
+
+def _cuts(t: pa.Table, width: int) -> Iterator[tuple[int, int]]:
+    keys = np.stack([t.column(k).to_numpy() for k in range(width)])
+    cuts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [t.num_rows]))
+    yield from zip(cuts, cuts[1:], strict=False)
+
+
+class _Forest:
+    """Union of labels, and one edge for each union."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.edges.append((max(a, b), min(a, b)))
+
+
+def _met(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Edges that join components by pairs within LIMIT, from tiles: key, i, j, side, node, n, comp, sig."""
+    tile = (t.column(1).to_numpy(), t.column(2).to_numpy())
+    side, n, comp = (t.column(k).to_numpy() for k in (3, 5, 6))
+    sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint16).reshape(-1, POSITIONS)
+    out: set[tuple[int, int]] = set()
+    for a, z in _cuts(t, 3):
+        rows = np.arange(a, z)
+        left, right = (rows, rows) if tile[0][a] == tile[1][a] else (rows[side[a:z] == 0], rows[side[a:z] == 1])
+        forest = _Forest()
+        for x in left:
+            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
+            if len(y):
+                y = y[(sig[y] != sig[x]).sum(axis=1) <= LIMIT]
+                for c in set(comp[y].tolist()):
+                    forest.join(int(comp[x]), c)
+        out.update(forest.edges)
+    u, v = zip(*sorted(out), strict=True) if out else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _confirm(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Edges of similar sets, one for each union in a tile: family, i, j, side, node, s."""
+    us, vs = [], []
+    for a, z in _cuts(t, 3):
+        part = t.slice(a, z - a)
+        side, node = part.column(3).to_numpy(), part.column(4).to_numpy().tolist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in part.column(5).chunks for x in c]
+        size = np.array([len(x) for x in sets])
+        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+        names, place = np.unique(np.concatenate(sets), return_inverse=True)
+        whole = part.column(1)[0] == part.column(2)[0]
+        held, forest = np.zeros(len(names), bool), _Forest()
+        for x in range(len(sets)) if whole else np.flatnonzero(side == 0):
+            own = place[starts[x] : starts[x] + size[x]]
+            held[own] = True
+            both = np.add.reduceat(held[place], starts, dtype=np.int64)
+            held[own] = False
+            ok = 100 * both >= PERCENT * (size + size[x] - both)
+            if whole:
+                ok[: x + 1] = False
+            else:
+                ok &= side == 1
+            for y in np.flatnonzero(ok):
+                forest.join(node[x], node[y])
+        us += [e[0] for e in forest.edges]
+        vs += [e[1] for e in forest.edges]
+    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,28 +247,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in text_sets(part.column(1).to_pylist())], pa.binary())], ["node", "s"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v of rows u, v, a, b whose sets are similar enough."""
-    for b in batches:
-        good = []
-        for k in range(b.num_rows):
-            x, y = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                good.append(k)
-        take = pa.array(good, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take)], ["u", "v"])
-
-
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs u, v of doc ids whose texts' sets are similar, from the full sets of those texts only."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, s binary"))
-    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long")
+def tiles(rows: DataFrame, key: str, parts: Column) -> DataFrame:
+    """rows with i, j, side: a key's rows in `parts` parts, each pair of parts (and each part itself) a tile."""
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    dealt = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": F.when(F.col("part") <= F.col("other"), 0).otherwise(1)})
+    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,27 +288,24 @@ def dedup(docs: DataFrame) -> DataFrame:
     met = cut(met.select("key", "node", "n", F.col("first.node").alias("v"), F.col("first.n").alias("vn"), "size"))
     sigs = nodes.select("node", "sig")
 
+    # families: nodes joined by pairs within LIMIT, first by those with a bucket's smallest member
     fit = f"100 * least(n, vn) >= {PERCENT} * greatest(n, vn)"
-    stars = met.where("node <> v").where(fit).groupBy(F.col("node").alias("u"), "v").agg(F.min("size").alias("size"))
+    stars = met.where("node <> v").where(fit).select(F.col("node").alias("u"), "v").distinct()
     stars = stars.join(sigs.toDF("u", "su"), "u").join(sigs.toDF("v", "sv"), "v").select("u", "v", "su", "sv")
-    near = cut(stars.mapInArrow(_distances, "u long, v long, d int"))
-    best = cut(near.groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select("u", "x.v"))
-    links = cut(confirm(best, docs))
-    comps = components(links)
-
-    # what is left: pairs of different components, from the stars and from buckets of three or more
-    named = lambda df, node, comp: df.join(comps.toDF(node, comp), node, "left").withColumn(comp, F.coalesce(comp, node))
-    rest = named(named(near.select("u", "v"), "u", "cu"), "v", "cv").where("cu <> cv").select("u", "v")
-    large = named(met.where("size > 2").select("key", "node", "n", "size"), "node", "comp")
-    mixed = large.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi")
-    parts = F.ceil(F.col("size") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    tiled = mixed.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    tiled = tiled.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "n", "comp").join(sigs, "node")
-    tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "node", "n", "comp", "sig")
-    rest = rest.union(tiled.mapInArrow(_tiles, "u long, v long")).distinct().join(best, ["u", "v"], "left_anti")
-    more = cut(confirm(cut(rest), docs))
-    final = components(links.union(more))
+    near = cut(stars.mapInArrow(_distances, "u long, v long"))
+    comps = components(near)
+    large = met.where("size > 2").select("key", "node", "n", "size").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = large.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi").join(sigs, "node")
+    joined = tiles(mixed, "key", F.ceil(F.col("size") / TILE).cast("int")).select("key", "i", "j", "side", "node", "n", "comp", "sig")
+    families = components(near.union(joined.mapInArrow(_by_tile(3, _met), "u long, v long")))
+
+    # links: similar sets within a family
+    of_family = families.join(nodes.select("node", "n"), "node").groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    parts = F.ceil(F.greatest(F.col("size") / TILE, F.col("total") / SHINGLES)).cast("int")
+    members = cut(families.join(of_family.select("comp", parts.alias("parts")), "comp"))
+    sets = of_ids(docs, members.select("node")).select("doc_id", "text").mapInArrow(_sets, "node long, s binary")
+    dealt = tiles(sets.join(members, "node"), "comp", F.col("parts")).select("comp", "i", "j", "side", "node", "s")
+    final = components(dealt.mapInArrow(_by_tile(3, _confirm), "u long, v long"))
 
     member = nodes.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id"))
     found = base.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(member, "set_key", "left")
