@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, language, near, quality, secrets
+from . import bpe, chat, decontaminate, language, lines, near, quality, secrets, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -24,6 +29,17 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC archives against a replica with changed and lost records."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    replica = warc.archive_pages(warc.damaged(pages)).where(~F.coalesce(F.col("page_id") % warc.LOST[0] == warc.LOST[1], F.lit(False)))
+    return warc.audit(warc.leaves(warc.archive_pages(pages)), warc.leaves(replica))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs.select("doc_id", "text"), language.learn(docs))
@@ -44,6 +60,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op5_warc_fixity": op5_warc_fixity,
+    "op6_decontaminate": op6_decontaminate,
     "op2_chat_format": op2_chat_format,
     "op4_near_dedup": op4_near_dedup,
     "op7_language_id": op7_language_id,
@@ -51,4 +70,4 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op6_decontaminate": decontaminate.ORACLE}

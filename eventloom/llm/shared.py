@@ -50,4 +50,20 @@ def words(text: Column, lower: bool = False) -> Column:
     return F.array_remove(F.split(F.translate(flat, UPPER, UPPER.lower()) if lower else flat, " "), "")
 
 
+#: Ids, 16 bytes each, up to which a list of documents is broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def numbered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `row`, which tells texts of one doc_id apart."""
+    return docs.withColumn("row", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+
+
+def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The docs of these ids (left_anti: the others); the list is broadcast only if its count is within BROADCAST_IDS."""
+    ids = cut(ids.distinct().toDF("_id"))
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
