@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language, lines, near, quality, secrets, warc
+from . import bpe, chat, decontaminate, html, language, lines, near, quality, secrets, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.unionByName(more)))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op5_warc_fixity": op5_warc_fixity,
     "op6_decontaminate": op6_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op3_html_extract": op3_html_extract,
     "op4_near_dedup": op4_near_dedup,
     "op7_language_id": op7_language_id,
     "op9_byte_bpe": op9_byte_bpe,
