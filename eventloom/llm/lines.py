@@ -1,15 +1,16 @@
 """Line dedup: an exact set-similarity join of lines, by built-in expressions only.
 
-A line's set is its distinct lower-case words. Two lines match if their sets' Jaccard similarity is PERCENT hundredths or
+A line's set is its distinct words. Two lines match if their sets' Jaccard similarity is PERCENT hundredths or
 more; a line is removed if a line before it, by doc_id and place, matches it. Lines with fewer than `least` distinct words
 are no candidates and stay.
 
 1. Words are counted in COUNTERS hash counters over all lines; a word's key holds the counter's level (rare first) above
-   56 bits of its hash, so sorted keys order words by rarity, the same everywhere.
+   the last 56 bits of its hash, so sorted keys order words by rarity, the same everywhere.
 2. Lines of one set (named by 64 bits) are one entry: the first stays, the later ones go.
-3. Each entry gives a row for each word of its prefix, n - ceil(t n) + 1 words. Rows that meet at a word pass the length
-   filter and the positional filter (the words left in both can still reach the overlap); the bound holds at a pair's first
-   common word.
+3. Each entry gives a row for each word of its prefix, n - ceil(t n) + COMMON words: two sets that match share COMMON words
+   of their prefixes. Rows that meet at a word pass the length filter, the positional filter (with the words left in both,
+   the overlap can still be reached; the bound holds at a pair's first COMMON words) and a bound from 64-bit maps of the
+   sets; pairs that meet COMMON times stay.
 4. Pairs are verified on the whole sets.
 
 Words in a third of all lines come last in every order, so they are in the prefix of few entries: those of frequent words
@@ -27,13 +28,16 @@ from pyspark.sql import functions as F
 
 from .shared import cut, let, numbered, of_ids
 
-PERCENT, LEAST, COUNTERS = 85, 8, 1 << 16
-MASK = (1 << 56) - 1
+#: COMMON is at most the overlap that LEAST words need.
+PERCENT, LEAST, COMMON, COUNTERS = 85, 8, 3, 1 << 16
 
 
 def flat(text: Column) -> Column:
-    """Text with blanks for white space but line ends, A-Z as a-z."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09\x0B-\x0D]", " "))
+    """Text with blanks for white space but line ends."""
+    text = F.coalesce(text, F.lit(""))
+    for c in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def hashes(line: Column) -> Column:
@@ -43,8 +47,8 @@ def hashes(line: Column) -> Column:
 
 def levels(docs: DataFrame, text: str = "text") -> list[int]:
     """The level, 0 to 127, of each counter: its count over all lines, on a logarithmic scale. COUNTERS rows reach the driver."""
-    word = docs.select(F.explode(F.split(F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " ")), " ")).alias("w"))
-    counted = word.select(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    word = docs.select(F.explode(F.split(F.replace(flat(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counted = word.select(F.call_function("shiftrightunsigned", F.xxhash64("w"), F.lit(48)).cast("int").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     out = [0] * COUNTERS
     for r in counted.select("c", F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 4)).alias("v")).collect():
         out[r["c"]] = int(r["v"])
@@ -53,8 +57,9 @@ def levels(docs: DataFrame, text: str = "text") -> list[int]:
 
 def keyed(line: Column, levels: list[int]) -> Column:
     """The set of a flat line as sorted keys, rare words first."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<long>")
-    key = lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(COUNTERS)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit(MASK)))
+    # a counter is named by a hash's first 16 bits; its entry turns the first 8 into the level
+    table = F.split(F.lit(",".join(str((v ^ c >> 8 if c < 1 << 15 else v ^ (c >> 8) - 256) << 56) for c, v in enumerate(levels))), ",").cast("array<long>")
+    key = lambda h: F.get(table, F.call_function("shiftrightunsigned", h, F.lit(48)).cast("int")).bitwiseXOR(h)
     return F.sort_array(F.transform(hashes(line), key))
 
 
@@ -65,24 +70,35 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
 def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """doc_id, row, removed (sorted places of the lines that go), for the numbered docs that lose lines."""
     counted = levels(docs, text)
-    n = F.size("s")
-    prefix = F.slice("s", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
-    with_sets = lambda d: _lines(d, text).select("doc_id", "row", "line_no", keyed(F.col("line"), counted).alias("s")).where(n >= least)
-    lines = cut(with_sets(docs).select("doc_id", "row", "line_no", F.xxhash64("s").alias("id"), n.alias("n"), prefix.alias("prefix")))
+
+    def of_lines(d: DataFrame, made) -> DataFrame:
+        # made in a generator, so that no filter makes it twice
+        each = let(keyed(F.col("line"), counted), lambda v: F.when(F.size(v) >= least, F.array(made(v))))
+        return _lines(d, text).select("doc_id", "row", "line_no", F.explode(each).alias("x")).select("doc_id", "row", "line_no", "x.*")
+
+    def prefixed(v: Column) -> Column:
+        n = F.size(v)
+        bits = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+        return F.struct(F.xxhash64(v).alias("id"), n.alias("n"), bits.alias("bits"), F.slice(v, 1, F.least(n, n - F.ceil(n * percent / 100).cast("int") + COMMON)).alias("prefix"))
+
+    lines = cut(of_lines(docs, prefixed))
     place = F.struct("doc_id", "row", "line_no")
-    entries = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", "prefix")).alias("x"), F.count("*").alias("copies"))
-    entries = cut(entries.select("id", F.struct("x.doc_id", "x.row", "x.line_no").alias("first"), "x.n", "x.prefix", "copies"))
+    entries = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", "bits", "prefix")).alias("x"), F.count("*").alias("copies"))
+    entries = cut(entries.select("id", F.struct("x.doc_id", "x.row", "x.line_no").alias("first"), "x.n", "x.bits", "x.prefix", "copies"))
 
-    rows = entries.select("id", "n", F.posexplode("prefix").alias("at", "key"))
-    a, b = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at")]), rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at")])
+    rows = entries.select("id", "n", "bits", F.posexplode("prefix").alias("at", "key"))
+    a, b = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "bits")]), rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "bits")])
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    left = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
+    left = COMMON + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    pairs = cut(a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & sized & (left >= need)).select("id_a", "id_b").distinct())
+    # a bit that one set has and the other lacks is a word that they don't share
+    apart = lambda x, y: F.col(f"n_{x}") - F.bit_count(F.col(f"bits_{x}").bitwiseAND(F.bitwise_not(f"bits_{y}")))
+    shared = F.least(left, apart("a", "b"), apart("b", "a"))
+    pairs = cut(a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & sized & (shared >= need)).groupBy("id_a", "id_b").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("id_a", "id_b"))
 
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     told = cut(entries.select("id", "first").join(ids, "id"))
-    sets = with_sets(of_ids(docs, told.select("first.doc_id"))).select(F.xxhash64("s").alias("id"), "s")
+    sets = of_lines(of_ids(docs, told.select("first.doc_id")), lambda v: F.struct(F.xxhash64(v).alias("id"), v.alias("s"))).select("id", "s")
     sets = cut(sets.join(told, "id").groupBy("id", "first").agg(F.first("s").alias("s")))
     side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.col("first").alias(f"first_{x}"), F.col("s").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
