@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import behaviour, structure
+from .common import Query
+
+QUERIES: dict[str, Query] = structure.QUERIES | behaviour.QUERIES
+ORACLES: dict[str, str] = structure.ORACLES | behaviour.ORACLES
