@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import modest_batches
+
 #: Pieces kept in a worker, bytes of text handled at once, and rows x width of a matrix.
-STORE, SLICE, CELLS = 150_000, 2_000_000, 1 << 20
+STORE, SLICE, CELLS = 80_000, 1_000_000, 1 << 18
 NONE = np.int32(2**31 - 1)
 
 
@@ -187,6 +189,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def _vocabulary(df: DataFrame, path: str):
+    modest_batches(df.sparkSession)
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

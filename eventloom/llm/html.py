@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import modest_batches
+
 #: Elements of HTML that stand as blocks, that have no end, and whose content is no text.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -325,6 +327,7 @@ def extract(pages: DataFrame, html: str = "html", field: Field | None = None) ->
     """pages with text, the main text."""
     shared = pages.sparkSession.sparkContext.broadcast(field or default_field())
     pages = pages.drop("text")
+    modest_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import modest_batches
+
 BUCKETS, SAMPLE, ROUNDS, SIZES = 8192, 400, 150, (2, 3, 4)
 UNKNOWN = "und"
 #: Languages by family; any other language is a family of its own.
@@ -163,6 +165,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
+    modest_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import cut, of_ids
+from .shared import cut, modest_batches, of_ids
 
 WORDS, PERCENT = 5, 75
 POSITIONS, CHUNK, ERRORS = 64, 4, 1
@@ -276,6 +276,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = cut(docs.mapInArrow(_describe, "doc_id long, n long, set_key binary, sig binary"))
     nodes = cut(

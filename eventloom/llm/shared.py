@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..state import cut, shared_dir  # noqa: F401
+
 #: Byte and code-point class that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -17,26 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master one made here."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="eventloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df once as a table in the shared folder and returns a reader of it; removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/eventloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows instead of the default 10,000, so that workers hold few texts; a setting of the caller's stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
