@@ -9,6 +9,11 @@ MISSING = "<MISSING>"
 MISSING_SCOPE = "<MISSING_HOST_SCOPE>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """All white space at both ends, line ends too."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")

@@ -151,6 +151,7 @@ class TarMembers(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TarLines)
     spark.dataSource.register(TarMembers)
 

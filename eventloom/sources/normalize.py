@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import event_id, first_filled, source_type, strip
+from ..functions.text import event_id, first_filled, let, source_type, strip
 from ..functions.times import parse
 from ..schema import COLUMNS, MAPPED_KEYS, PROPERTIES
 
@@ -22,17 +22,21 @@ def _text(x: Column) -> Column:
     return strip(F.when(x.isNull(), "").when(x == "true", "True").when(x == "false", "False").otherwise(x))
 
 
+def _value(m: Column, key: str) -> Column:
+    return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(""))
+
+
 def _present(m: Column, keys: list[str]) -> Column:
     """The value of the first key that is there, whatever it is."""
     out = F.lit("")
     for k in reversed(keys):
-        out = F.when(F.map_contains_key(m, F.lit(k)), _text(F.try_element_at(m, F.lit(k)))).otherwise(out)
+        out = F.when(F.map_contains_key(m, F.lit(k)), _value(m, k)).otherwise(out)
     return out
 
 
 def _prefer(m: Column, key: str, keys: list[str]) -> Column:
     """The exact key if it has text, else the first that is there."""
-    return first_filled(_text(F.try_element_at(m, F.lit(key))), _present(m, keys))
+    return let(_value(m, key), lambda x: F.when(x != "", x).otherwise(_present(m, keys)))
 
 
 def object_value(kind: Column, p: dict[str, Column], fallback: Column) -> Column:
@@ -56,17 +60,20 @@ def normalize(lines: DataFrame) -> DataFrame:
     kind = F.schema_of_variant(F.col("v"))
     rows = rows.withColumn("ok", F.col("v").isNotNull()).where(F.col("v").isNull() | kind.startswith("OBJECT"))
     rows = rows.withColumn("m", F.coalesce(F.try_variant_get("v", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
-    top = F.transform_values("m", lambda k, x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
-    rows = rows.withColumn("t", F.when(F.col("ok"), top)).withColumn("p", F.coalesce(F.try_variant_get(F.try_element_at("m", F.lit("properties")), "$", "map<string,string>"), F.create_map().cast("map<string,string>")))
-    m, p = F.coalesce("t", F.create_map().cast("map<string,string>")), F.col("p")
-    own = {k: _text(F.try_element_at(m, F.lit(key))) for k, key in (("actor_id_raw", "actorID"), ("object_id_raw", "objectID"), ("pid_raw", "pid"), ("ppid_raw", "ppid"), ("tid_raw", "tid"), ("principal_raw", "principal"))}
-    promoted = {c: _text(F.try_element_at(p, F.lit(k))) for c, (k, _) in PROPERTIES.items()}
+    # texts of both maps are trimmed once, before any of them is looked up
+    top = F.transform_values("m", lambda k, x: _text(F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))))
+    inner = F.transform_values(F.try_variant_get(F.try_element_at("m", F.lit("properties")), "$", "map<string,string>"), lambda k, x: _text(x))
+    rows = rows.withColumns({"t": top, "p": F.coalesce(inner, F.create_map().cast("map<string,string>"))}).withColumn("x", F.explode(F.array(F.struct("t", "p"))))
+    m, p = F.col("x.t"), F.col("x.p")
+    own = {k: _value(m, key) for k, key in (("actor_id_raw", "actorID"), ("object_id_raw", "objectID"), ("pid_raw", "pid"), ("ppid_raw", "ppid"), ("tid_raw", "tid"), ("principal_raw", "principal"))}
+    promoted = {c: _value(p, k) for c, (k, _) in PROPERTIES.items()}
     named = {c: _prefer(m, {"host_raw": "hostname", "action_raw": "action", "object_raw": "object"}[c], ALTERNATIVES[c]) for c in ("host_raw", "action_raw", "object_raw")}
-    upper = F.upper(strip(named["object_raw"]))
+    rows = rows.withColumn("kind", F.upper(named["object_raw"]))
+    upper = F.col("kind")
     promoted["service_name_raw"] = F.when(upper == "SERVICE", promoted["property_name_raw"]).otherwise("")
     stamp, given = _present(m, ALTERNATIVES["timestamp_raw"]), _present(m, ALTERNATIVES["raw_event_id"])
-    time = parse(stamp)
-    iso = F.when(F.date_format(time, "SSSSSS") == "000000", F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    shown = lambda t: F.when(F.date_format(t, "SSSSSS") == "000000", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    iso = let(let(stamp, parse), shown)
     keys = F.array_sort(F.map_keys(p))
     values = {
         "raw_event_id": first_filled(given, event_id(F.col("archive_name"), F.col("member_name"), F.col("line_number"))),
