@@ -287,7 +287,8 @@ def labelled_pages(n: int = 260, seed: int = 11) -> list[tuple[str, list[int]]]:
             return "".join(one() for _ in range(r.randint(1, 12)))  # noqa: B023
 
         extra = lambda p: (r.choice([advert, notice, form, aside, comments])() if r.random() < p else "")  # noqa: B023,E731
-        title = block("title", words(2, 8), 0)
+        bare = r.random() < 0.15
+        title = block("title", words(2, 8), 0) if not bare else ""
         top = (f'<header class="{r.choice(["site-header", "top", "masthead"])}">' + (block("h1", words(1, 4), 0) if r.random() < 0.4 else para(0, 1, 10)) + (menu() if r.random() < 0.4 else "") + "</header>") if r.random() < 0.5 else ""
         top += r.choice([menu(), menu("div", ' class="menu"'), ""]) if r.random() < 0.8 else ""
         top += extra(0.5) + extra(0.3)
@@ -300,9 +301,13 @@ def labelled_pages(n: int = 260, seed: int = 11) -> list[tuple[str, list[int]]]:
             inner = f"<main><article>{inner}</article></main>"
         elif shape != "plain":
             inner = f"<{shape}>{inner}</{shape.split()[0]}>"
+        if bare:
+            top = ""
         end = (comments() if r.random() < 0.3 else "") + extra(0.4) + (aside() if r.random() < 0.3 else "")
         end += r.choice([block("footer", "&copy; " + words(2, 15), 0), f"<footer>{para(0, 2, 20)}</footer>", block('div class="footer"', words(2, 15), 0), ""])
         page = f"<!DOCTYPE html><html><head>{title}</head><body>{top}{inner}{end}</body></html>"
+        if bare and r.random() < 0.5:
+            page = inner
         out.append((page.replace(MARK, ""), [int(MARK in b.text) for b in blocks(page)]))
     return out
 
