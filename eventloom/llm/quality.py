@@ -95,3 +95,19 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     m = m.withColumns({k: F.col("_m")[v][k] if v else F.col("_m")[k] for k, v in names.items()})
     m = m.withColumn("base_failed", F.expr(BASE)).withColumn("failed_rules", compile_rules(rules))
     return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_m")
+
+
+def _oracle() -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    fails = " OR ".join(f"({r.whole} > 0 AND ({' OR '.join([f'100 * {r.part} < {r.least} * {r.whole}'] * (r.least is not None) + [f'100 * {r.part} > {r.most} * {r.whole}'] * (r.most is not None))}))" for r in RULES)
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+s AS (SELECT r, k, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS k FROM w)),
+c AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, s) AS n FROM s) WHERE n > 1),
+v AS (SELECT r, count(DISTINCT k + j) AS n FROM c, (SELECT unnest(range(0, 5)) AS j) GROUP BY r),
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words, CAST(len(l) AS BIGINT) AS n_lines FROM w LEFT JOIN v USING (r)),
+b AS (SELECT *, {BASE} AS base_failed FROM m) SELECT *, NOT base_failed AND NOT ({fails}) AS kept FROM b"""
+
+
+#: The same rules in SQL.
+ORACLE = _oracle()

@@ -76,4 +76,4 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op6_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op8_quality_rules": quality.ORACLE}
