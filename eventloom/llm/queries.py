@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, language, lines, near, quality, secrets, warc
+from . import bpe, chat, decontaminate, html, language, lines, near, oracles, quality, secrets, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,4 +76,4 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {"op5_warc_fixity": warc.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op8_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": oracles.LINES, "op2_chat_format": oracles.CHATS, "op5_warc_fixity": warc.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op8_quality_rules": quality.ORACLE}
