@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,10 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df once as a table in the shared folder and returns a reader of it; removed when the driver ends."""
+    """Writes df once as a table in the shared folder and returns a reader of it; removed when the driver ends.
+
+    The driver's garbage is collected, since executors keep the shuffle files of a plan until the driver forgets it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/eventloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
