@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import modest_batches
 
-BUCKETS, SAMPLE, ROUNDS, SIZES = 8192, 400, 150, (2, 3, 4)
+BUCKETS, SAMPLE, ROUNDS, SIZES = 8192, 250, 150, (2, 3, 4)
 UNKNOWN = "und"
 #: Languages by family; any other language is a family of its own.
 FAMILIES = {
@@ -80,8 +80,8 @@ class Machine(NamedTuple):
 
 def fit(x: np.ndarray, y: np.ndarray, a: str, b: str, cost: float = 50.0) -> Machine:
     """Averaged sub-gradient steps; y is 1 for a, -1 for b; both classes weigh the same."""
-    scale = 1.0 / np.maximum(x.std(axis=0), 1e-4)
-    xs = (x * scale).astype(np.float32)
+    scale = (1.0 / np.maximum(x.std(axis=0), 1e-4)).astype(np.float32)
+    xs = x * scale
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, bias, mean, mean_bias, l2 = np.zeros(x.shape[1], np.float64), 0.0, np.zeros(x.shape[1]), 0.0, 1.0 / cost
     for t in range(1, ROUNDS + 1):

@@ -11,7 +11,9 @@ are no candidates and stay.
    of their prefixes. Rows that meet at a word pass the length filter, the positional filter (with the words left in both,
    the overlap can still be reached; the bound holds at a pair's first COMMON words) and a bound from 64-bit maps of the
    sets; pairs that meet COMMON times stay.
-4. Pairs are verified on the whole sets.
+4. Pairs are verified on the whole sets: first those of each word's entries with the earliest of them, then the entries
+   that are still without an earlier match with all that are earlier, so that a family of like lines gives no square of
+   its size.
 
 Words in a third of all lines come last in every order, so they are in the prefix of few entries: those of frequent words
 alone, which are few as sets are distinct.
@@ -25,11 +27,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import cut, let, numbered, of_ids
+from .shared import BROADCAST_IDS, cut, let, numbered, of_ids
 
 #: COMMON is at most the overlap that LEAST words need.
-PERCENT, LEAST, COMMON, COUNTERS = 85, 8, 3, 1 << 16
+PERCENT, LEAST, COMMON, COUNTERS = 85, 8, 2, 1 << 16
 
 
 def flat(text: Column) -> Column:
@@ -86,24 +89,42 @@ def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, l
     entries = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", "bits", "prefix")).alias("x"), F.count("*").alias("copies"))
     entries = cut(entries.select("id", F.struct("x.doc_id", "x.row", "x.line_no").alias("first"), "x.n", "x.bits", "x.prefix", "copies"))
 
-    rows = entries.select("id", "n", "bits", F.posexplode("prefix").alias("at", "key"))
-    a, b = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "bits")]), rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "bits")])
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    left = COMMON + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    # a bit that one set has and the other lacks is a word that they don't share
-    apart = lambda x, y: F.col(f"n_{x}") - F.bit_count(F.col(f"bits_{x}").bitwiseAND(F.bitwise_not(f"bits_{y}")))
-    shared = F.least(left, apart("a", "b"), apart("b", "a"))
-    pairs = cut(a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & sized & (shared >= need)).groupBy("id_a", "id_b").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("id_a", "id_b"))
-
-    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    told = cut(entries.select("id", "first").join(ids, "id"))
-    sets = of_lines(of_ids(docs, told.select("first.doc_id")), lambda v: F.struct(F.xxhash64(v).alias("id"), v.alias("s"))).select("id", "s")
-    sets = cut(sets.join(told, "id").groupBy("id", "first").agg(F.first("s").alias("s")))
-    side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.col("first").alias(f"first_{x}"), F.col("s").alias(f"s_{x}"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    matched = pairs.join(side("a"), "id_a").join(side("b"), "id_b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both))
-    later = matched.select(F.greatest("first_a", "first_b").alias("p")).distinct().select("p.*")
+    # rows of a word that several entries have in their prefix, each with the earliest of them
+    rows = entries.select("id", "n", "bits", F.col("first.doc_id").alias("d"), F.posexplode("prefix").alias("at", "key"))
+    w = Window.partitionBy("key")
+    rows = rows.withColumns({"head": F.min(F.struct("d", "id", "n", "at", "bits")).over(w), "size": F.count("*").over(w)}).where("size > 1")
+    met = cut(rows.select("key", "id", "n", "at", "bits", "d", *[F.col(f"head.{c}").alias(f"{c}_h") for c in ("id", "n", "at", "bits")]))
+
+    def fits(x: str, y: str) -> Column:
+        of = lambda c, side: F.col(f"{c}{side}")
+        need = F.ceil((of("n", x) + of("n", y)) * percent / (100 + percent))
+        left = COMMON + F.least(of("n", x) - of("at", x) - 1, of("n", y) - of("at", y) - 1)
+        # a bit that one set has and the other lacks is a word that they don't share
+        apart = lambda p, q: of("n", p) - F.bit_count(of("bits", p).bitwiseAND(F.bitwise_not(of("bits", q))))
+        sized = 100 * F.least(of("n", x), of("n", y)) >= percent * F.greatest(of("n", x), of("n", y))
+        return sized & (F.least(left, apart(x, y), apart(y, x)) >= need)
+
+    def later_of(pairs: DataFrame) -> DataFrame:
+        """id and p, the place, of the later entry of each pair that matches."""
+        often = pairs.groupBy("id_a", "id_b").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("id_a", "id_b")
+        often = cut(often)
+        ids = often.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+        told = cut(entries.select("id", "first").join(ids, "id"))
+        sets = of_lines(of_ids(docs, told.select("first.doc_id")), lambda v: F.struct(F.xxhash64(v).alias("id"), v.alias("s"))).select("id", "s")
+        sets = cut(sets.join(told, "id").groupBy("id", "first").agg(F.first("s").alias("s")))
+        side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.struct("first", "id").alias(f"p_{x}"), F.col("s").alias(f"s_{x}"))
+        both = F.size(F.array_intersect("s_a", "s_b"))
+        matched = often.join(side("a"), "id_a").join(side("b"), "id_b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both))
+        return cut(matched.select(F.greatest("p_a", "p_b").alias("x")).distinct().select("x.id", F.col("x.first").alias("p")))
+
+    # most lines of a family match its earliest; only those left are compared with all that are earlier
+    some = later_of(met.where("id <> id_h").where(fits("", "_h")).select(F.col("id_h").alias("id_a"), F.col("id").alias("id_b")))
+    gone = F.broadcast(some.select("id")) if some.count() <= BROADCAST_IDS else some.select("id")
+    named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at", "bits", "d")])
+    a, b = named(met, "a"), named(met.join(gone, "id", "left_anti"), "b")
+    earlier = F.col("d_a").isNull() | (F.col("d_a") <= F.col("d_b"))
+    rest = later_of(a.join(b, "key").where((F.col("id_a") != F.col("id_b")) & earlier & fits("_a", "_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
+    later = some.union(rest).select("p.*").distinct()
     copies = lines.join(entries.where("copies > 1").select("id", "first"), "id").where(place != F.col("first")).select("doc_id", "row", "line_no")
     return later.union(copies).groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
