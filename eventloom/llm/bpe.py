@@ -194,10 +194,10 @@ def _vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the token ids of their texts, array<int>."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", exact: str | None = None) -> DataFrame:
+    """docs with the token ids of their texts, array<int>; `exact` names a column that tells whether the decoded ids are the text."""
     file = _vocabulary(docs, path)
-    docs = docs.drop(ids) if ids in docs.columns else docs
+    docs = docs.drop(ids, *[exact] * (exact is not None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,9 +205,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 part = b.slice(a, z - a)
                 found = _codec(file.value, pattern).encode(part.column(text).to_pylist())
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], [*part.schema.names, ids])
-
-    return docs.mapInArrow(run, docs.withColumn(ids, F.array().cast("array<int>")).schema)
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))]
+                if exact is not None:
+                    texts = part.column(text).to_pylist()
+                    made.append(pa.array([_codec(file.value, pattern).decode(x) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(found, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, ids, *[exact] * (exact is not None)])
+
+    out = docs.withColumn(ids, F.array().cast("array<int>"))
+    return docs.mapInArrow(run, (out if exact is None else out.withColumn(exact, F.lit(True))).schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
