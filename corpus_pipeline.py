@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier one go, and documents that have no word left after that; n_chars follows the text."""
-    out = lines.dedup_lines(docs.select(COLUMNS))
+    """Lines with a word that match an earlier one go, and documents that have no word left after that; n_chars follows the text."""
+    out = lines.dedup_lines(docs.select(COLUMNS), least=1)
     out = out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 

@@ -2,7 +2,8 @@
 
 A line's set is its distinct words. Two lines match if their sets' Jaccard similarity is PERCENT hundredths or
 more; a line is removed if a line before it, by doc_id and place, matches it. Lines with fewer than `least` distinct words
-are no candidates and stay.
+are no candidates and stay; `least` = 1 makes every line with a word one. At PERCENT sets that match and differ share six words or
+more, so COMMON holds for all, and shorter sets match only equal ones.
 
 1. Words are counted in COUNTERS hash counters over all lines; a word's key holds the counter's level (rare first) above
    the last 56 bits of its hash, so sorted keys order words by rarity, the same everywhere.
@@ -82,7 +83,9 @@ def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, l
     def prefixed(v: Column) -> Column:
         n = F.size(v)
         bits = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-        return F.struct(F.xxhash64(v).alias("id"), n.alias("n"), bits.alias("bits"), F.slice(v, 1, F.least(n, n - F.ceil(n * percent / 100).cast("int") + COMMON)).alias("prefix"))
+        # a set too short for any match but an equal one, which its id finds, has no prefix
+        size = F.when(n * (100 - percent) < percent, 0).otherwise(F.least(n, n - F.ceil(n * percent / 100).cast("int") + COMMON))
+        return F.struct(F.xxhash64(v).alias("id"), n.alias("n"), bits.alias("bits"), F.slice(v, 1, size).alias("prefix"))
 
     lines = cut(of_lines(docs, prefixed))
     place = F.struct("doc_id", "row", "line_no")

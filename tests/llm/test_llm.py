@@ -115,6 +115,28 @@ def test_lines(docs, none):
     assert lines.digest(none).count() == 0 and "kept" in lines.dedup_lines(docs).columns
 
 
+def test_pipeline_lines_of_few_words(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = {
+        1: "All rights reserved.\n" + prose(30, 31), 2: "All  rights\treserved.\nb c\n\nb", 3: "All rights\nc b b\nAll rights reserved. x", 4: "b\n\n c",
+        5: "p q r s t u", 6: "q p r s t u v\nnew", 7: "p q r s t\nq r s t p w", 8: "All rights reserved.", 9: "r1 r2 r3 r4 r5 r6 r7", 10: "r2 r1 r3 r4 r5 r6 r7 r8",
+    }
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    seen, expected = [], {}
+    for i, t in texts.items():
+        kept = []
+        for line in t.split("\n"):
+            s = set(words(line))
+            if not s or not any(100 * len(s & o) >= lines.PERCENT * len(s | o) for o in seen):
+                kept.append(" ".join(words(line)))
+            seen += [s] if s else []
+        if any(kept):
+            expected[i] = kept
+    out = pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), DATA).collect()
+    assert {r.doc_id: [" ".join(words(x)) for x in r.text.split("\n")] for r in out} == expected and 8 not in expected
+    assert all(r.n_chars == len(r.text) for r in out)
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, prose(40, 8).title()), (2, "three, short words!"), (3, None), (4, prose(20, 99)), (None, BASE), (5, ""), (6, " ".join(BASE.split(" ")[10:50]))], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()}
