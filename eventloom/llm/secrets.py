@@ -1,9 +1,12 @@
 """Secret scans: base patterns, and tokens that a Markov model of random strings explains better than one of identifiers.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from labelled
-samples (`samples`, made here by rule, or a frame of the caller). A candidate is a maximal run of key characters; it is
-a span of kind `random` where the log-likelihood ratio of its transitions, a character, exceeds `THRESHOLD` and it
-overlaps no base span. The table of ratios has a fixed size, so it travels inside the expression.
+samples (`samples`, made here by rule, or a frame of the caller). A candidate is a run of key characters, or what base
+spans leave of it, of LEAST characters or more. It is a span of kind `random` where the log-likelihood ratio of its
+transitions, a character, exceeds `THRESHOLD`; of any other candidate its segments of LEAST characters or more that do are:
+with the threshold taken from each ratio, a segment starts where the running sum leaves 0 and ends at its maximum, once the
+sum is back at 0 or DROP below that. So a key name or a path beside a secret doesn't hide it. The table of ratios has a
+fixed size, so it travels inside the expression.
 
 Cases: null text is empty and has no spans; long texts are scanned whole; equal rows give equal spans; an empty table
 gives an empty result; other columns stay, a column with the name of a result is replaced.
@@ -28,9 +31,10 @@ BASE = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),  # the runs of [0-9a-f]+ that are long enough
 }
 KINDS = (*BASE, "random")
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Natural-log units a transition.
-THRESHOLD = 0.25
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Natural-log units a transition, and of the sum that ends a segment.
+THRESHOLD, DROP = 0.25, 8.0
 SPAN = "array<struct<start:long,rank:int,kind:string,end:long>>"
 
 #: Parts of ordinary identifiers, paths and file names.
@@ -104,22 +108,56 @@ def _placed(text: Column, pattern: str, group: int, least: int, kind: str) -> Co
     return let(whole, lambda m: F.when(F.size(m) == 0, F.array().cast(SPAN)).otherwise(spans(m)))
 
 
-def log_ratio(token: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio of the transitions of a token of ALPHABET."""
+def log_ratios(token: Column, ratios: list[float]) -> Column:
+    """Log-likelihood ratio of each transition of a token of ALPHABET."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
     marks = F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
-    pairs = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.get(table, F.get(p, i - 1) * len(ALPHABET) + F.get(p, i)))
-    return let(marks, lambda p: F.aggregate(pairs(p), F.lit(0.0), lambda a, x: a + x) / (F.size(p) - 1))
+    return let(marks, lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.get(table, F.get(p, i - 1) * len(ALPHABET) + F.get(p, i))))
+
+
+def _one(start: Column, end: Column) -> Column:
+    return F.array(F.struct(start.cast("long").alias("start"), F.lit(KINDS.index("random")).alias("rank"), F.lit("random").alias("kind"), end.cast("long").alias("end"))).cast(SPAN)
+
+
+def _left(run: Column, base: Column) -> Column:
+    """The parts of a run outside sorted base spans that are long enough."""
+    zero = F.struct(run["start"].alias("at"), F.array().cast(SPAN).alias("out"))
+    met = F.filter(base, lambda x: (x["start"] < run["end"]) & (run["start"] < x["end"]))
+    step = lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], _one(a["at"], x["start"])).alias("out"))
+    parts = F.aggregate(met, zero, step, lambda a: F.concat(a["out"], _one(a["at"], run["end"])))
+    return F.filter(parts, lambda x: x["end"] - x["start"] >= LEAST)
+
+
+def _random(part: Column, ratio: Column, threshold: float) -> Column:
+    """The part as a span if its mean ratio exceeds the threshold, else its segments that do."""
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0.0).alias("best"), F.lit(0).alias("last"), F.array().cast(SPAN).alias("out"))
+    # transitions first to last - 1 join the characters first to last
+    ended = lambda a: F.when(a["last"] - a["first"] + 1 >= LEAST, F.concat(a["out"], _one(part["start"] + a["first"], part["start"] + a["last"] + 1))).otherwise(a["out"])
+
+    def step(a: Column, x: Column) -> Column:
+        total, after = a["sum"] + (x - threshold), a["i"] + 1
+        over = (total <= 0) | (total < a["best"] - DROP)
+        grown = total > a["best"]
+        return F.struct(
+            after.alias("i"), F.when(over, 0.0).otherwise(total).alias("sum"), F.when(over, after).otherwise(a["first"]).alias("first"),
+            F.when(over, 0.0).when(grown, total).otherwise(a["best"]).alias("best"), F.when(over | grown, after).otherwise(a["last"]).alias("last"),
+            F.when(over, ended(a)).otherwise(a["out"]).alias("out"),
+        )
+
+    mean = F.aggregate(ratio, F.lit(0.0), lambda a, x: a + x) / F.size(ratio)
+    return F.when(mean > threshold, _one(part["start"], part["end"])).otherwise(F.aggregate(ratio, zero, step, ended))
 
 
 def scan(docs: DataFrame, text: str = "text", ratios: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with found: array<struct<start, rank, kind, end>>, sorted, of code points, end exclusive."""
     ratios = ratios or train(samples())
     body = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(*[_placed(body, *BASE[k], k) for k in BASE])
-    runs = _placed(body, CANDIDATE, 0, 20, "random")
-    free = lambda b: F.filter(runs, lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])) & (log_ratio(F.substring(body, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), ratios) > threshold))
-    return docs.withColumn("found", let(base, lambda b: F.array_sort(F.concat(b, free(b)))))
+    base = F.array_sort(F.concat(*[_placed(body, *BASE[k], k) for k in BASE]))
+    runs = _placed(body, CANDIDATE, 0, LEAST, "random")
+    free = lambda b: F.flatten(F.transform(runs, lambda s: _left(s, b)))
+    token = lambda s: F.substring(body, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    scored = lambda b: F.flatten(F.transform(free(b), lambda s: let(log_ratios(token(s), ratios), lambda v: _random(s, v, threshold))))
+    return docs.withColumn("found", let(base, lambda b: F.array_sort(F.concat(b, scored(b)))))
 
 
 def listed(spans: Column) -> Column:
