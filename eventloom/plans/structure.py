@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import commands, ip, paths
 from ..operators import audit, entities, intake, relational, selection, taxonomy, windows
 from ..sources.normalize import normalize
+from ..state import cut
 from .adapter import EV, MEMBERS, PERIODS, events, members
 from .common import Registry
 
@@ -304,7 +305,7 @@ def manifest_by_date(spark, sf_dir):
 
 @query()
 def manifest_validation(spark, sf_dir):
-    return selection.validate(_chosen(spark, sf_dir), 1.5, 2.5)
+    return selection.validate(cut(_chosen(spark, sf_dir)), selection.eligible(members(spark, sf_dir)), 1.5, 2.5)
 
 
 @query("""WITH p AS (SELECT page_id, url, CAST(page_id * 7 % 5 AS BIGINT) AS length FROM pages) SELECT CASE WHEN length = 0 THEN 'no' ELSE 'yes' END AS included, count(*) AS n_files, CAST(sum(length) AS BIGINT) AS total_bytes FROM p GROUP BY 1""")

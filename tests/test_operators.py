@@ -114,6 +114,31 @@ def test_selection_keeps_caps(spark):
     assert selection.manifest(spark.createDataFrame(got)).where("manifest_id = 'P10_00001'").count() == 1
 
 
+def test_selection_verdict(spark):
+    kinds = "archive_date string, archive_filename string, member_name string, host string, source_type string, size_gib double, readable string, sample_status string, valid_lines string, invalid_lines string, first_time string, last_time string"
+    member = lambda d, h, size, **more: tuple({"d": f"2020-01-{d:02d}", "a": f"{d}.tar", "m": f"{d}{h}.json.gz", "h": f"h{h}", "t": "endpoint", "s": size, "r": "yes", "k": "sample_ok", "v": "5", "i": "0", "b": "a", "e": "b", **more}.values())
+    good = [member(d, h, 0.1) for d in range(1, 6) for h in range(4)]
+
+    def verdict(chosen, inventory):
+        some = spark.createDataFrame(chosen, kinds).select("archive_date", "archive_filename", "member_name", "host", "source_type", "size_gib")
+        return {r.check: (r.value, r.result) for r in selection.validate(some, spark.createDataFrame(inventory, kinds), 1.0, 3.0).collect()}
+
+    got = verdict(good, good)
+    assert {k for k, (_, r) in got.items() if r == "fail"} == set() and len(got) == 16
+    assert got["repeated_hosts"] == got["hosts_on_all_dates"] == (4.0, "info")
+    skewed = [member(d, h, 0.106 if d == 1 else 0.1) for d in range(1, 6) for h in range(4)]
+    assert {k for k, (_, r) in verdict(skewed, skewed).items() if r == "fail"} == {"date_share"}
+    later = [*good, member(6, 1, 0.1), member(7, 1, 0.1)]
+    got = verdict(good, later)
+    assert got["all_inventory_dates_represented"] == (2.0, "fail") and got["hosts_on_all_dates"][0] == 0.0
+    for change, name in (({"r": "no"}, "readable"), ({"v": "0"}, "valid_sampled_json"), ({"i": None}, "valid_sampled_json"), ({"k": "x"}, "valid_sampled_json"), ({"e": " "}, "have_sampled_timestamps")):
+        assert {k for k, (_, r) in verdict(good, [*good[1:], member(1, 0, 0.1, **change)]).items() if r == "fail"} == {f"selected_members_{name}"}
+    unknown = verdict(good, good[1:])
+    assert [unknown[f"selected_members_{k}"] for k in ("readable", "valid_sampled_json", "have_sampled_timestamps")] == [(1.0, "fail")] * 3
+    empty = verdict([], good)
+    assert empty["all_inventory_dates_represented"] == (5.0, "fail") and empty["selected_members_readable"][1] == "fail" and empty["repeated_hosts"] == (0.0, "info")
+
+
 def test_intake(spark):
     f = spark.createDataFrame([("raw/.x.json", 5), ("raw/flow_v1_.json", 0), ("raw/host_v2.json.gz", 9), ("raw/ecar_2020-01-01.json.gz", 9)], "path string, length long")
     rows = {r.file_name: (r.included, r.reason, r.source_type) for r in intake.ledger(f).collect()}
