@@ -253,6 +253,12 @@ def test_html(spark):
     assert html.extract(d.limit(0)).count() == 0
 
 
+def test_html_keeps_text_of_formulas_and_fallbacks(spark):
+    page = "<html><body><article><h1>Energy</h1><p>We write <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here, and <svg><text>a label</text></svg> there.</p><p>See <object data='x'>the film of it, told in words.</p><p>The rest of the article stays where it is.</p><template><p>no</p></template><style>p {}</style></article></body></html>"
+    got = html.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text
+    assert got == "Energy\n\nWe write E=m here, and a label there.\n\nSee the film of it, told in words.\n\nThe rest of the article stays where it is."
+
+
 def test_html_held_out():
     field, right, total = html.default_field(), 0, 0
     for page, labels in html.labelled_pages(120, 77):
