@@ -32,4 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     spark._jvm.System.gc()
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the tables of cut(), once all that reads them has been written elsewhere."""
+    for t in tables:
+        where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        files = where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration())
+        files.delete(where, True)
+        files.cancelDeleteOnExit(where)
