@@ -2,26 +2,28 @@
 
 A line's set is its distinct words. Two lines match if their sets' Jaccard similarity is PERCENT hundredths or
 more; a line is removed if a line before it, by doc_id and place, matches it. Lines with fewer than `least` distinct words
-are no candidates and stay; `least` = 1 makes every line with a word one. At PERCENT sets that match and differ share six words or
-more, so COMMON holds for all, and shorter sets match only equal ones.
+are no candidates and stay; `least` = 1 makes every line with a word one. At PERCENT sets that match and differ have six
+words or more, so shorter sets match only equal ones.
 
 1. Words are counted in COUNTERS hash counters over all lines; a word's key holds the counter's level (rare first) above
-   the last 56 bits of its hash, so sorted keys order words by rarity, the same everywhere.
+   the last 56 bits of its hash, so sorted keys order words by rarity, the same everywhere. The levels are one row, which
+   the plan reads as a scalar subquery.
 2. Lines of one set (named by 64 bits) are one entry: the first stays, the later ones go.
-3. Each entry gives a row for each word of its prefix, n - ceil(t n) + COMMON words: two sets that match share COMMON words
-   of their prefixes. Rows that meet at a word pass the length filter, the positional filter (with the words left in both,
-   the overlap can still be reached; the bound holds at a pair's first COMMON words) and a bound from 64-bit maps of the
-   sets; pairs that meet COMMON times stay.
-4. Pairs are verified on the whole sets: first those of each word's entries with the earliest of them, then the entries
-   that are still without an earlier match with all that are earlier, so that a family of like lines gives no square of
-   its size.
-
-Words in a third of all lines come last in every order, so they are in the prefix of few entries: those of frequent words
-alone, which are few as sets are distinct.
+3. Each entry gives a row for each word of its prefix, n - ceil(t n) + 1 words: two sets that match share a word of their
+   prefixes. Rows that meet at a word pass the length filter, the positional filter (with the words left in both, the
+   overlap can still be reached) and a bound from 64-bit maps of the prefixes: sets that match share so many words of
+   their prefixes that few bits of one are missing in the other.
+4. Pairs are verified on the whole sets, whose lines alone are cut into words again: first, of each word, those of an entry
+   with the earliest one and with its neighbours in order of the maps; then the entries that are still without an earlier
+   match with all that are earlier, so that a family of like lines gives no square of its size.
+
+A word in a third of all lines comes last in every order, so it is in the prefix of few entries: those of frequent words
+alone, which are few as sets are distinct. Words of a counter above SALT are spread over several tasks in the first
+comparison; the second is a join, whose skewed partitions adaptive execution splits.
 
 Cases: null or empty text has no lines that match; null doc_id sorts first; rows of one doc_id
 are told apart, and ordered, by a hash of their text, and repeated rows lose the same lines; blank lines stay; very long lines are sets like others; an empty table gives an empty
-result; other columns stay, a column with the name of a result is replaced.
+result; other columns stay whatever their names, but a column with the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -30,10 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BROADCAST_IDS, cut, let, numbered, of_ids
+from .shared import BROADCAST_IDS, cut, free, let, numbered, release
 
-#: COMMON is at most the overlap that LEAST words need.
-PERCENT, LEAST, COMMON, COUNTERS = 85, 8, 2, 1 << 16
+#: COUNTERS = 2 ** BITS; a counter above 2 ** SALT lines is spread.
+PERCENT, LEAST, BITS, SALT = 85, 1, 18, 20
+#: Words of a prefix by which entries first meet.
+HEADS = 3
+COUNTERS = 1 << BITS
+#: Marks, in a place within a prefix, entries that have an earlier match.
+GONE = 1 << 30
 
 
 def flat(text: Column) -> Column:
@@ -49,96 +56,144 @@ def hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def levels(docs: DataFrame, text: str = "text") -> list[int]:
-    """The level, 0 to 127, of each counter: its count over all lines, on a logarithmic scale. COUNTERS rows reach the driver."""
+def _counter(h: Column) -> Column:
+    return F.call_function("shiftrightunsigned", h, F.lit(64 - BITS)).cast("int")
+
+
+def levels(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row, one array: for each counter, what turns the first 8 bits of a hash into the counter's level, 0 to 127: its
+    count over all lines, on a logarithmic scale."""
     word = docs.select(F.explode(F.split(F.replace(flat(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counted = word.select(F.call_function("shiftrightunsigned", F.xxhash64("w"), F.lit(48)).cast("int").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
-    out = [0] * COUNTERS
-    for r in counted.select("c", F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 4)).alias("v")).collect():
-        out[r["c"]] = int(r["v"])
-    return out
+    counted = word.select(_counter(F.xxhash64("w")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    level = F.coalesce(F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 4)).cast("long"), F.lit(0).cast("long"))
+    c = F.col("c").cast("long")
+    first = F.call_function("shiftright", F.when(c < COUNTERS // 2, c).otherwise(c - COUNTERS), F.lit(BITS - 8))
+    every = docs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("c")).join(counted, "c", "left")
+    every = every.select("c", F.call_function("shiftleft", level.bitwiseXOR(first), F.lit(56)).alias("turn"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "turn"))), lambda x: x["turn"]).alias("turns"))
 
 
-def keyed(line: Column, levels: list[int]) -> Column:
+def keyed(line: Column, turns: Column) -> Column:
     """The set of a flat line as sorted keys, rare words first."""
-    # a counter is named by a hash's first 16 bits; its entry turns the first 8 into the level
-    table = F.split(F.lit(",".join(str((v ^ c >> 8 if c < 1 << 15 else v ^ (c >> 8) - 256) << 56) for c, v in enumerate(levels))), ",").cast("array<long>")
-    key = lambda h: F.get(table, F.call_function("shiftrightunsigned", h, F.lit(48)).cast("int")).bitwiseXOR(h)
-    return F.sort_array(F.transform(hashes(line), key))
+    key = lambda w: F.get(turns, _counter(F.xxhash64(w))).bitwiseXOR(F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), key)))
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select("doc_id", "row", F.posexplode(F.split(flat(F.col(text)), "\n")).alias("line_no", "line"))
+def bitmap(keys: Column) -> Column:
+    """A 64-bit map of the keys' last six bits."""
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(one(x.bitwiseAND(F.lit(63)))))
 
 
-def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """doc_id, row, removed (sorted places of the lines that go), for the numbered docs that lose lines."""
-    counted = levels(docs, text)
+def prefix_size(n: Column, percent: int) -> Column:
+    """Words of a prefix; a set too short for any match but an equal one, which its id finds, has none."""
+    return F.when(n * (100 - percent) < percent, 0).otherwise(n - F.ceil(n * percent / 100).cast("int") + 1)
+
+
+def fits(x, y, percent: int) -> Column:
+    """Whether two entries' rows of one word can be of a match; x and y give the columns n, at, bits and whole of each."""
+    need = F.ceil((x("n") + y("n")) * percent / (100 + percent))
+    left = 1 + F.least(x("n") - x("at") - 1, y("n") - y("at") - 1)
+    # of a match's overlap at most the larger rest behind a prefix lies outside both prefixes
+    shared = need - F.greatest(x("n") - prefix_size(x("n"), percent), y("n") - prefix_size(y("n"), percent))
+    missing = lambda c, p, q: F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c))))
+    spare = lambda p, q: (missing("bits", p, q) <= prefix_size(p("n"), percent) - shared) & (missing("whole", p, q) <= p("n") - need)
+    return (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & (left >= need) & spare(x, y) & spare(y, x)
 
-    def of_lines(d: DataFrame, made) -> DataFrame:
-        # made in a generator, so that no filter makes it twice
-        each = let(keyed(F.col("line"), counted), lambda v: F.when(F.size(v) >= least, F.array(made(v))))
-        return _lines(d, text).select("doc_id", "row", "line_no", F.explode(each).alias("x")).select("doc_id", "row", "line_no", "x.*")
 
-    def prefixed(v: Column) -> Column:
-        n = F.size(v)
-        bits = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-        # a set too short for any match but an equal one, which its id finds, has no prefix
-        size = F.when(n * (100 - percent) < percent, 0).otherwise(F.least(n, n - F.ceil(n * percent / 100).cast("int") + COMMON))
-        return F.struct(F.xxhash64(v).alias("id"), n.alias("n"), bits.alias("bits"), F.slice(v, 1, size).alias("prefix"))
+def entries_of(docs: DataFrame, text: str, percent: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The entries (id, first, n, bits, whole, prefix) and the places (doc_id, row, line_no) of their later copies."""
+    turns = cut(levels(docs, text))
+    lines = docs.select("doc_id", "row", F.posexplode(F.split(flat(F.col(text)), "\n")).alias("line_no", "line")).withColumn("turns", turns.scalar())
 
-    lines = cut(of_lines(docs, prefixed))
+    def made(v: Column) -> Column:
+        head = F.slice(v, 1, prefix_size(F.size(v), percent))
+        return F.struct(F.xxhash64(v).alias("id"), F.size(v).alias("n"), bitmap(head).alias("bits"), bitmap(v).alias("whole"), head.alias("prefix"))
+
+    # the projection takes the levels in, so that no row carries them; the generator keeps filters from making sets twice
+    lines = lines.select("doc_id", "row", "line_no", keyed(F.col("line"), F.col("turns")).alias("v"))
+    each = F.when(F.size("v") >= least, F.array(made(F.col("v"))))
+    lines = cut(lines.select("doc_id", "row", "line_no", F.explode(each).alias("x")).select("doc_id", "row", "line_no", "x.*"))
+    entries = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", "bits", "whole", "prefix")).alias("x"), F.count("*").alias("copies"))
+    entries = cut(entries.select("id", F.struct("x.doc_id", "x.row", "x.line_no").alias("first"), "x.n", "x.bits", "x.whole", "x.prefix", "copies"))
     place = F.struct("doc_id", "row", "line_no")
-    entries = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", "bits", "prefix")).alias("x"), F.count("*").alias("copies"))
-    entries = cut(entries.select("id", F.struct("x.doc_id", "x.row", "x.line_no").alias("first"), "x.n", "x.bits", "x.prefix", "copies"))
-
-    # rows of a word that several entries have in their prefix, each with the earliest of them
-    rows = entries.select("id", "n", "bits", F.col("first.doc_id").alias("d"), F.posexplode("prefix").alias("at", "key"))
-    w = Window.partitionBy("key")
-    rows = rows.withColumns({"head": F.min(F.struct("d", "id", "n", "at", "bits")).over(w), "size": F.count("*").over(w)}).where("size > 1")
-    met = cut(rows.select("key", "id", "n", "at", "bits", "d", *[F.col(f"head.{c}").alias(f"{c}_h") for c in ("id", "n", "at", "bits")]))
-
-    def fits(x: str, y: str) -> Column:
-        of = lambda c, side: F.col(f"{c}{side}")
-        need = F.ceil((of("n", x) + of("n", y)) * percent / (100 + percent))
-        left = COMMON + F.least(of("n", x) - of("at", x) - 1, of("n", y) - of("at", y) - 1)
-        # a bit that one set has and the other lacks is a word that they don't share
-        apart = lambda p, q: of("n", p) - F.bit_count(of("bits", p).bitwiseAND(F.bitwise_not(of("bits", q))))
-        sized = 100 * F.least(of("n", x), of("n", y)) >= percent * F.greatest(of("n", x), of("n", y))
-        return sized & (F.least(left, apart(x, y), apart(y, x)) >= need)
+    copies = cut(lines.join(entries.where("copies > 1").select("id", "first"), "id").where(place != F.col("first")).select("doc_id", "row", "line_no"))
+    release(lines, turns)
+    return entries, copies
+
+
+def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
+    """doc_id, row, removed (sorted places of the lines that go), for the numbered docs that lose lines."""
+    entries, copies = entries_of(docs, text, percent, least)
 
     def later_of(pairs: DataFrame) -> DataFrame:
-        """id and p, the place, of the later entry of each pair that matches."""
-        often = pairs.groupBy("id_a", "id_b").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("id_a", "id_b")
-        often = cut(often)
+        """id and p, the place, of the later entry of each pair (id_a, id_b) that matches."""
+        often = cut(pairs.distinct())
         ids = often.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
         told = cut(entries.select("id", "first").join(ids, "id"))
-        sets = of_lines(of_ids(docs, told.select("first.doc_id")), lambda v: F.struct(F.xxhash64(v).alias("id"), v.alias("s"))).select("id", "s")
-        sets = cut(sets.join(told, "id").groupBy("id", "first").agg(F.first("s").alias("s")))
+        places = told.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row")).agg(F.collect_list(F.struct("id", "first")).alias("found"))
+        places = F.broadcast(places) if told.count() <= BROADCAST_IDS // 4 else places
+        of = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
+        one = lambda v: F.transform("found", lambda p: F.struct(p["id"].alias("id"), p["first"].alias("first"), hashes(F.get(v, p["first"]["line_no"])).alias("s")))
+        sets = of.select(F.explode(let(F.split(flat(F.col(text)), "\n"), one)).alias("x")).select("x.*")
+        sets = cut(sets.dropDuplicates(["id"]))
         side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.struct("first", "id").alias(f"p_{x}"), F.col("s").alias(f"s_{x}"))
         both = F.size(F.array_intersect("s_a", "s_b"))
         matched = often.join(side("a"), "id_a").join(side("b"), "id_b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both))
-        return cut(matched.select(F.greatest("p_a", "p_b").alias("x")).distinct().select("x.id", F.col("x.first").alias("p")))
-
-    # most lines of a family match its earliest; only those left are compared with all that are earlier
-    some = later_of(met.where("id <> id_h").where(fits("", "_h")).select(F.col("id_h").alias("id_a"), F.col("id").alias("id_b")))
-    gone = F.broadcast(some.select("id")) if some.count() <= BROADCAST_IDS else some.select("id")
-    named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at", "bits", "d")])
-    a, b = named(met, "a"), named(met.join(gone, "id", "left_anti"), "b")
-    earlier = F.col("d_a").isNull() | (F.col("d_a") <= F.col("d_b"))
-    rest = later_of(a.join(b, "key").where((F.col("id_a") != F.col("id_b")) & earlier & fits("_a", "_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
+        later = cut(matched.select(F.greatest("p_a", "p_b").alias("x")).distinct().select("x.id", F.col("x.first").alias("p")))
+        release(often, told, sets)
+        return later
+
+    def rows_of(found: DataFrame) -> DataFrame:
+        """A row for each word of an entry's prefix; d is the doc_id, null lowest."""
+        d = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(2**63)))
+        return found.select("id", "n", "bits", "whole", d.alias("d"), "gone", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at") + F.col("gone")).drop("gone")
+
+    # most lines of a family match the earliest of those that share one of HEADS words, or a neighbour in order of the maps
+    level = F.call_function("shiftrightunsigned", "key", F.lit(56))
+    chosen = lambda v: F.transform(F.slice(F.sort_array(F.transform(v, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("i")))), 1, HEADS), lambda x: x["i"])
+    rows = entries.select("id", F.col("first.doc_id").alias("d"), "n", "bits", "whole", "prefix", F.explode(chosen(F.col("prefix"))).alias("at")).withColumn("key", F.get("prefix", "at")).drop("prefix")
+    rows = rows.withColumn("salt", F.pmod("id", F.ceil(F.pow(F.lit(2.0), level / 4 - SALT))))
+    w = Window.partitionBy("key", "salt").orderBy("bits", "id")
+    told = ["id", "n", "at", "bits", "whole"]
+    head = F.min(F.struct("d", *told)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = rows.withColumns({"h": head, "l": F.lag(F.struct(*told)).over(w)})
+    other = lambda x: F.when((F.col(x)["id"] != F.col("id")) & fits(F.col, lambda c: F.col(x)[c], percent), F.col(x)["id"])
+    found = met.select("id", other("h").alias("h"), other("l").alias("l")).where("h is not null or l is not null")
+    found = found.select("id", F.explode(F.array("h", "l")).alias("o")).where("o is not null")
+    some = later_of(found.select(F.least("id", "o").alias("id_a"), F.greatest("id", "o").alias("id_b")))
+
+    # those left are compared with all that are earlier; both sides have the same columns, so that one shuffle serves both
+    gone = some.select("id", F.lit(GONE).alias("gone"))
+    gone = F.broadcast(gone) if some.count() <= BROADCAST_IDS else gone
+    rows = rows_of(entries.join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0))))
+    side = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at", "bits", "whole", "d")])
+    a = lambda c: F.col("at_a").bitwiseAND(F.lit(GONE - 1)) if c == "at" else F.col(f"{c}_a")
+    met = side("a").join(side("b"), "key").where((F.col("id_a") != F.col("id_b")) & (F.col("d_a") <= F.col("d_b")) & fits(a, lambda c: F.col(f"{c}_b"), percent))
+    rest = later_of(met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
     later = some.union(rest).select("p.*").distinct()
-    copies = lines.join(entries.where("copies > 1").select("id", "first"), "id").where(place != F.col("first")).select("doc_id", "row", "line_no")
-    return later.union(copies).groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    removed = cut(later.union(copies).groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
+    release(entries, copies, some, rest)
+    return removed
+
+
+def _with_removed(docs: DataFrame, row: str, text: str, percent: int, least: int) -> DataFrame:
+    """docs, numbered in the column `row`, with removed (null: none); the list travels to the docs if it is small."""
+    gone = removed_lines(docs.select("doc_id", F.col(row).alias("row"), text), text, percent, least).toDF("_id_", "_row_", "removed")
+    small = gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0] <= BROADCAST_IDS
+    names = {"_id_": free(docs, "_id_"), "_row_": free(docs, "_row_")}
+    gone = gone.withColumnsRenamed(names)
+    on = docs["doc_id"].eqNullSafe(gone[names["_id_"]]) & (docs[row] == gone[names["_row_"]])
+    return docs.join(F.broadcast(gone) if small else gone, on, "left").drop(*names.values())
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """docs whose texts have lost the removed lines, with n_lines and removed (array of places)."""
-    docs = numbered(docs.drop("n_lines", "removed"), text)
-    gone = removed_lines(docs.select("doc_id", "row", text), text, percent, least).toDF("_id", "_row", "removed")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").drop("_id", "_row", "row")
+    docs = docs.drop("n_lines", "removed")
+    row = free(docs, "row")
+    out = _with_removed(numbered(docs, text, row), row, text, percent, least).drop(row)
     parts = F.split(F.col(text), "\n")
-    keep = lambda v: F.array_join(F.filter(v, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    keep = lambda v: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(v) - 1), "removed"), lambda i: F.get(v, i)), "\n")
     return out.withColumns({
         "n_lines": F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long"),
         text: F.when(F.col("removed").isNull(), F.col(text)).otherwise(let(parts, keep)),
@@ -150,6 +205,7 @@ def digest(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and removed of each row, without moving texts."""
     docs = numbered(docs.select("doc_id", text), text)
     gone = removed_lines(docs, text).toDF("_id", "_row", "removed")
+    small = gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0] <= BROADCAST_IDS
     counts = docs.select("doc_id", "row", F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long").alias("n_lines"))
-    out = counts.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    out = counts.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))

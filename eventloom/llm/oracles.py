@@ -8,7 +8,7 @@ from . import lines
 LINES = r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS v FROM documents),
 x AS (SELECT doc_id, unnest(v) AS line, unnest(range(0, len(v))) AS line_no FROM d),
 s AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[ \t\x0B\x0C\r]+'), lambda w: w <> ''))) AS s FROM x),
-l AS (SELECT *, len(s) AS n, row_number() OVER (ORDER BY doc_id, line_no) AS p FROM s WHERE len(s) >= 8),
+l AS (SELECT *, len(s) AS n, row_number() OVER (ORDER BY doc_id, line_no) AS p FROM s WHERE len(s) >= 1),
 e AS (SELECT s, any_value(n) AS n, min(p) AS p FROM l GROUP BY s),
 t AS (SELECT p, n, unnest(s) AS w FROM e), f AS (SELECT w, count(*) AS c FROM t GROUP BY w),
 r AS (SELECT p, n, w, row_number() OVER (PARTITION BY p ORDER BY c, w) AS k FROM t JOIN f USING (w)),
@@ -18,7 +18,7 @@ m AS (SELECT DISTINCT pb AS p FROM c JOIN e a ON a.p = pa JOIN e b ON b.p = pb W
 g AS (SELECT doc_id, line_no FROM l JOIN e USING (s) WHERE l.p <> e.p UNION SELECT doc_id, line_no FROM l JOIN m USING (p)),
 o AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS removed FROM g GROUP BY 1)
 SELECT doc_id, CAST(len(v) AS BIGINT) AS n_lines, coalesce(o.n, 0) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN o USING (doc_id)"""
-assert (lines.PERCENT, lines.LEAST) == (85, 8)
+assert (lines.PERCENT, lines.LEAST) == (85, 1)
 
 #: Chats: the turns as they are, and the sizes of headings and escapes.
 CHATS = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..state import cut, shared_dir  # noqa: F401
+from ..state import cut, release, shared_dir  # noqa: F401
 
 #: Byte and code-point class that separates words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -38,9 +38,17 @@ def words(text: Column, lower: bool = False) -> Column:
 BROADCAST_IDS = 1_000_000
 
 
-def numbered(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `row`, which tells texts of one doc_id apart."""
-    return docs.withColumn("row", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, text: str = "text", row: str = "row") -> DataFrame:
+    """docs with the column `row`, which tells texts of one doc_id apart."""
+    return docs.withColumn(row, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
