@@ -56,7 +56,7 @@ def _class(a: ipaddress.IPv4Address | ipaddress.IPv6Address) -> str:
         return "loopback"
     if a.is_multicast:
         return "multicast"
-    if a.is_private and not a.is_unspecified and not a.is_reserved:
+    if a.version == 6 and a in ipaddress.ip_network("fc00::/7"):
         return "internal-looking"
     return "external-looking" if a.is_global else "other_non_global/unresolved"
 
@@ -92,7 +92,7 @@ def structural_class(raw: Column, v6: bool = True) -> Column:
     n = number(F.trim(raw))
     four = (
         F.when(within(n, LOOPBACK), "loopback").when(within(n, MULTICAST), "multicast").when(n == (1 << 32) - 1, "limited_broadcast")
-        .when(within(n, PRIVATE + LINK_LOCAL), "internal-looking").when(within(n, RESERVED) & ~within(n, GLOBAL), "other_non_global/unresolved").otherwise("external-looking")
+        .when(within(n, PRIVATE), "internal-looking").when(within(n, LINK_LOCAL + UNSPECIFIED + RESERVED) & ~within(n, GLOBAL), "other_non_global/unresolved").otherwise("external-looking")
     )
     other = F.coalesce(_over_v6(_class)(raw), F.lit("other_non_global/unresolved")) if v6 else F.lit("other_non_global/unresolved")
     return F.when(n.isNotNull(), four).otherwise(other)

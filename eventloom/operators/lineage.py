@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,7 +14,13 @@ from ..schema import LOCATOR
 from .entities import attach
 from .relational import BENIGN, EVALUATION, earliest, first_k, global_rank
 
-LONGEST, RARE, EXAMPLES, UNUSUAL = 5, 5, 10, 1000
+LONGEST, RARE, EXAMPLES, UNUSUAL, EVIDENCE = 5, 5, 10, 1000, 20
+# How a chain is known, and how its links are.
+OBSERVED, INFERRED = "observed_same_event", "inferred_path_composition"
+LINKS = {OBSERVED: "observed", INFERRED: "inferred_not_causal"}
+GROUND_TRUTH = "not_evaluated_eda10"
+#: Attributes of the event that stands for an edge.
+SHOWN = ["parent_show", "child_show", "mapping", "command_line_raw", "actor_id_raw", "object_id_raw", "pid_raw", "ppid_raw"]
 
 
 def process_scan(e: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -32,7 +38,7 @@ def edges(scan: DataFrame) -> DataFrame:
     some = scan.where(F.col("host_id").isNotNull() & (F.col("parent_cmp") != "") & (F.col("child_cmp") != ""))
     return some.groupBy("period_role", "window_start", "host_id", "parent_cmp", "child_cmp").agg(
         F.count("*").alias("n"), F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"),
-        earliest([*LOCATOR, "parent_show", "child_show", "mapping"], LOCATOR).alias("e"),
+        earliest([*LOCATOR, *[c for c in SHOWN if c in scan.columns]], LOCATOR).alias("e"),
     )
 
 
@@ -75,7 +81,7 @@ def chains(found: DataFrame, longest: int = LONGEST) -> DataFrame:
         )
         made.append(path)
     out = reduce(DataFrame.unionByName, made).drop("last")
-    kind = F.when(F.size("nodes") == 2, "observed").otherwise("inferred")
+    kind = F.when(F.size("nodes") == 2, OBSERVED).otherwise(INFERRED)
     return out.withColumns({"length": F.size("nodes").cast("long"), "construction": kind, "chain": F.array_join("nodes", " -> "), "chain_id": chain_id(F.col("host_id"), kind, F.col("nodes"))})
 
 
@@ -87,8 +93,8 @@ def _before(a: str, b: str) -> Column:
 
 def novelty(mapping: Column, construction: Column, benign: Column, rare: int = RARE) -> Column:
     return (
-        F.when(mapping == "unresolved", "unresolved_mapping").when((construction == "inferred") & (benign == 0), "inferred_chain_only")
-        .when(benign == 0, "unseen_in_benign").when(benign <= rare, "rare_in_benign").otherwise("common_in_benign")
+        F.when(mapping == "unresolved", "unresolved_mapping").when((construction == INFERRED) & (benign == 0), "inferred_chain_only")
+        .when(benign == 0, "unseen_in_verified_benign").when(benign <= rare, "rare_in_verified_benign").otherwise("common_in_verified_benign")
     )
 
 
@@ -128,65 +134,149 @@ def next_process(windows: DataFrame) -> DataFrame:
 
 def chain_novelty(t14_rows: DataFrame, windows: DataFrame) -> DataFrame:
     """Chains of evaluation windows that are new to their host, by novelty."""
-    names = t14_rows.where((F.col("period_role") == EVALUATION) & ~F.col("novelty").isin("unresolved_mapping", "common_in_benign")).select("host_id", "chain_id", "novelty")
+    names = t14_rows.where((F.col("period_role") == EVALUATION) & ~F.col("novelty").isin("unresolved_mapping", "common_in_verified_benign")).select("host_id", "chain_id", "novelty")
     return windows.where(F.col("period_role") == EVALUATION).join(names, ["host_id", "chain_id"]).groupBy("window_start", "host_id", "novelty").agg(F.count("*").alias("n_chains"))
 
 
 def command_counts(scan: DataFrame) -> DataFrame:
-    """Normalized commands of a host with benign and evaluation counts; a line is normalized once for each distinct text."""
-    d = scan.groupBy("host_id", "command_line_raw").agg(F.count_if(F.col("period_role") == BENIGN).alias("b"), F.count_if(F.col("period_role") == EVALUATION).alias("v"))
-    d = d.withColumns({"command": commands.normalized(F.col("command_line_raw")), "status": commands.status(F.col("command_line_raw"))})
-    return d.groupBy("host_id", "command", "status").agg(F.sum("b").alias("benign_count"), F.sum("v").alias("evaluation_count"))
+    """Normalized commands over all hosts with benign and evaluation counts; a line is normalized once for each distinct text."""
+    return _texts(scan).groupBy("command", "status").agg(F.sum("b").alias("benign_count"), F.sum("v").alias("evaluation_count"))
+
+
+def _texts(scan: DataFrame) -> DataFrame:
+    """Distinct texts with their command, its status and their events of each role."""
+    d = scan.groupBy(F.coalesce("command_line_raw", F.lit("")).alias("raw")).agg(F.count_if(F.col("period_role") == BENIGN).alias("b"), F.count_if(F.col("period_role") == EVALUATION).alias("v"))
+    return d.withColumns({"command": commands.normalized(F.col("raw")), "status": commands.status(F.col("raw"))})
+
+
+def command_status(counts: DataFrame) -> DataFrame:
+    """Events of each normalization status."""
+    return counts.groupBy("status").agg(F.sum(F.col("benign_count") + F.col("evaluation_count")).alias("n"))
+
+
+def _is_missing(command: Column) -> Column:
+    return F.coalesce(command, F.lit("")) == ""
 
 
 def command_novelty(counts: DataFrame, rare: int = RARE) -> DataFrame:
-    said = F.when(F.col("command") == "", "insufficient_or_missing_command").when(F.col("benign_count") == 0, "unseen_in_benign").when(F.col("benign_count") <= rare, "rare_in_benign").otherwise("common_in_benign")
+    said = F.when(_is_missing(F.col("command")), commands.MISSING).when(F.col("benign_count") == 0, "unseen_in_verified_benign").when(F.col("benign_count") <= rare, "rare_in_verified_benign").otherwise("common_in_verified_benign")
     return counts.withColumn("novelty", said)
 
 
-def unusual_commands(scan: DataFrame, counts: DataFrame, rare: int = RARE, limit: int = UNUSUAL) -> DataFrame:
-    """The first `limit` evaluation events, by locator, whose command is blank or has at most `rare` benign uses on the host."""
-    v = scan.where(F.col("period_role") == EVALUATION).withColumn("command", commands.normalized(F.col("command_line_raw")))
-    known = counts.groupBy("host_id", "command").agg(F.sum("benign_count").alias("benign_count"))
-    j = v.join(known, ["host_id", "command"], "left").where((F.col("command") == "") | (F.coalesce("benign_count", F.lit(0)) <= rare))
-    return j.orderBy(*[F.col(c).asc_nulls_last() for c in LOCATOR]).limit(limit).select(*LOCATOR, "host_id", "command", F.coalesce("benign_count", F.lit(0)).cast("long").alias("benign_count"))
+def _known(scan: DataFrame) -> DataFrame:
+    """raw, command, status and the command's counts over all its texts, blank commands with none."""
+    t = _texts(scan)
+    total = t.groupBy("command").agg(F.sum("b").alias("benign_command_count"), F.sum("v").alias("evaluation_command_count"))
+    counted = lambda c: F.when(F.col("command") == "", 0).otherwise(F.col(c)).cast("long").alias(c)
+    return t.join(total, "command").select("raw", "command", F.col("status").alias("normalization_status"), counted("benign_command_count"), counted("evaluation_command_count"))
+
+
+def _with_known(rows: DataFrame, scan: DataFrame) -> DataFrame:
+    return rows.withColumn("raw", F.coalesce("command_line_raw", F.lit(""))).join(_known(scan), "raw", "left").drop("raw")
+
+
+def unusual_commands(scan: DataFrame, rare: int = RARE, limit: int = UNUSUAL) -> DataFrame:
+    """The first `limit` evaluation events, by locator, whose command is blank or has at most `rare` benign uses."""
+    j = _with_known(scan.where(F.col("period_role") == EVALUATION), scan).where(_is_missing(F.col("command")) | (F.col("benign_command_count") <= rare))
+    return j.orderBy(*[F.col(c).asc_nulls_last() for c in LOCATOR]).limit(limit)
 
 
-def unusual_chains(t14_rows: DataFrame, rare: int = RARE, limit: int = UNUSUAL) -> DataFrame:
-    c = t14_rows.where((F.col("period_role") == EVALUATION) & (F.col("construction") == "observed") & (F.col("benign_count") <= rare))
+def command_windows(scan: DataFrame, rare: int = RARE) -> DataFrame:
+    """Evaluation events of each host and window with a command that is new or rare in benign ones."""
+    j = _with_known(scan.where(F.col("period_role") == EVALUATION), scan).where(~_is_missing(F.col("command")) & (F.col("benign_command_count") <= rare))
+    return j.groupBy("host_id", "window_start").agg(F.count("*").alias("command_novelty_count"))
+
+
+def chain_counts(windows: DataFrame) -> DataFrame:
+    """Benign and evaluation counts of each chain."""
+    of = lambda role: F.sum(F.when(F.col("period_role") == role, F.col("n")).otherwise(0))
+    return windows.groupBy("chain_id").agg(of(BENIGN).alias("benign_chain_count"), of(EVALUATION).alias("evaluation_chain_count"))
+
+
+def _observed(windows: DataFrame, role: str) -> DataFrame:
+    seen = windows.where((F.col("period_role") == role) & (F.col("construction") == OBSERVED))
+    return seen.join(chain_counts(windows), "chain_id")
+
+
+def unusual_chains(windows: DataFrame, rare: int = RARE, limit: int = UNUSUAL) -> DataFrame:
+    """The first `limit` observed chains of evaluation windows, by their first event, with at most `rare` benign events."""
+    c = _observed(windows, EVALUATION).where(F.col("benign_chain_count") <= rare)
     return c.orderBy(*[F.col(f"e.{x}").asc_nulls_last() for x in LOCATOR], "host_id", "chain_id").limit(limit)
 
 
-def common_chains(t14_rows: DataFrame, rare: int = RARE, limit: int = EXAMPLES) -> DataFrame:
-    c = t14_rows.where((F.col("period_role") == BENIGN) & (F.col("benign_count") > rare))
-    one = c.withColumn("k", F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("benign_count"), "first_time", "chain_id"))).where("k = 1")
-    return one.orderBy(F.desc("benign_count"), "first_time", "chain_id").limit(limit).drop("k")
+def common_chains(windows: DataFrame, rare: int = RARE, limit: int = EXAMPLES) -> DataFrame:
+    """The most frequent observed benign chains, each by its first window."""
+    c = _observed(windows, BENIGN).where((F.col("benign_chain_count") > rare) & (F.coalesce("e.raw_event_id", F.lit("")) != ""))
+    one = c.withColumn("k", F.row_number().over(Window.partitionBy("chain_id").orderBy("first_time", *[F.col(f"e.{x}") for x in LOCATOR]))).where("k = 1").drop("k")
+    return one.orderBy(F.desc("benign_chain_count"), "first_time", "chain_id").limit(limit)
 
 
 # Reasons by (chain unusual, command unusual, command missing).
 def reason(chain: Column, command: Column, missing: Column) -> Column:
     return (
-        F.when(chain & missing, "unusual_chain_missing_command").when(chain & command, "unusual_chain_and_command").when(chain, "unusual_chain")
-        .when(missing, "missing_command").when(command, "unusual_command").otherwise("common_benign_example")
+        F.when(missing & chain, "unusual_chain_insufficient_command").when(missing, "insufficient_or_missing_command")
+        .when(chain & command, "unusual_chain_unusual_command").when(chain, "unusual_chain_common_command")
+        .when(command, "common_chain_unusual_command").otherwise("common_in_verified_benign")
     )
 
 
-def t15(t14_rows: DataFrame, scan: DataFrame, counts: DataFrame, rare: int = RARE, examples: int = EXAMPLES, limit: int = UNUSUAL) -> DataFrame:
-    """Common benign examples, then unusual evaluation events: chains and commands, one row an event, chains first."""
-    common = common_chains(t14_rows, rare, examples).select(F.lit("common").alias("part"), *[F.col(f"e.{c}").alias(c) for c in LOCATOR], "host_id", "chain", F.lit(False).alias("by_chain"), F.lit(False).alias("by_command"), F.lit(None).cast("string").alias("command"))
-    by_chain = unusual_chains(t14_rows, rare, limit).select(*[F.col(f"e.{c}").alias(c) for c in LOCATOR], "host_id", "chain", F.lit(0).alias("source"), F.lit(None).cast("string").alias("command"))
-    by_command = unusual_commands(scan, counts, rare, limit).select(*LOCATOR, "host_id", F.lit(None).cast("string").alias("chain"), F.lit(1).alias("source"), "command")
-    both = by_chain.unionByName(by_command)
-    w = Window.partitionBy("raw_event_id")
-    merged = both.withColumns({"by_command": F.max(F.col("source") == 1).over(w), "cmd": F.max("command").over(w), "k": F.row_number().over(w.orderBy("source", *LOCATOR[1:4]))}).where("k = 1")
-    unusual = merged.orderBy(*[F.col(c).asc_nulls_last() for c in LOCATOR]).limit(limit).select(F.lit("unusual").alias("part"), *LOCATOR, "host_id", "chain", (F.col("source") == 0).alias("by_chain"), "by_command", F.col("cmd").alias("command"))
-    out = common.unionByName(unusual)
-    place = F.row_number().over(Window.orderBy("part", *LOCATOR))  # at most examples + limit rows
-    missing = F.col("by_command") & (F.coalesce("command", F.lit("x")) == "")
-    return out.withColumn("evidence_id", F.format_string("t15_%04d_%s", place, F.col("raw_event_id"))).withColumn("reason", reason(F.col("by_chain"), F.col("by_command") & ~missing, missing)).drop("by_chain", "by_command")
+def t15(windows: DataFrame, scan: DataFrame, rare: int = RARE, examples: int = EXAMPLES, limit: int = UNUSUAL) -> DataFrame:
+    """Common benign chains, then unusual evaluation events, found by their chain or by their command, one row an event.
+
+    Counts of an event's command are looked up for every row, whichever way it was found."""
+    shown = [c for c in SHOWN if c in scan.columns]
+    plain = ["chain_id", "construction", "benign_chain_count", "evaluation_chain_count"]
+    of_chain = ["period_role", "window_start", "host_id", "nodes", *plain]
+    both = common_chains(windows, rare, examples).select(*of_chain, "e.*").unionByName(unusual_chains(windows, rare, limit).select(*of_chain, "e.*"))
+    evidence = edge_evidence(scan, EVIDENCE).withColumn("nodes", F.array("parent_cmp", "child_cmp")).drop("parent_cmp", "child_cmp")
+    both = _with_known(both.join(evidence, ["period_role", "window_start", "host_id", "nodes"], "left").withColumn("source", F.lit(0)), scan)
+
+    found = unusual_commands(scan, rare, limit).withColumns({"source": F.lit(1), "evidence_ids": F.array("raw_event_id"), "construction": F.lit(OBSERVED), "nodes": F.array("parent_cmp", "child_cmp")})
+    found = found.withColumn("chain_id", chain_id(F.col("host_id"), F.lit(OBSERVED), F.col("nodes"))).join(chain_counts(windows), "chain_id", "left")
+    said = ["command", "normalization_status", "benign_command_count", "evaluation_command_count"]
+    columns = ["source", "period_role", "host_id", *plain, *LOCATOR, *shown, *said, "evidence_ids"]
+    rows = both.select(columns).unionByName(found.select(columns)).fillna(0, ["benign_chain_count", "evaluation_chain_count"])
+
+    # an event found both ways has one row, that of its chain
+    w = Window.partitionBy("period_role", "raw_event_id").orderBy("source", *LOCATOR[:-1])
+    rows = rows.withColumn("k", F.row_number().over(w)).where((F.col("period_role") == BENIGN) | (F.col("k") == 1))
+    common = rows.where(F.col("period_role") == BENIGN).withColumn("k", F.row_number().over(Window.orderBy(F.desc("benign_chain_count"), LOCATOR[0], "chain_id")))
+    unusual = rows.where(F.col("period_role") == EVALUATION).withColumn("k", F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in LOCATOR]))).where(F.col("k") <= limit)
+    out = common.withColumn("part", F.lit(0)).unionByName(unusual.withColumn("part", F.lit(1)))
+    place = F.row_number().over(Window.orderBy("part", "k")) - 1  # at most examples + limit rows
+
+    missing = F.trim(F.coalesce("command_line_raw", F.lit(""))) == ""
+    why = reason(F.col("benign_chain_count") <= rare, ~missing & (F.col("benign_command_count") <= rare), missing)
+    text = lambda c: (F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")).alias(c)
+    return out.withColumn("place", place).select(
+        F.format_string("t15_%04d_%s", "place", "raw_event_id").alias("evidence_id"), F.col("event_time").alias("timestamp"), "host_id",
+        F.col("parent_show").alias("parent_process"), F.col("child_show").alias("child_process"), text("command_line_raw"), F.coalesce("command", F.lit("")).alias("command_line_normalized"),
+        F.when(F.col("part") == 0, "common_in_verified_benign").otherwise(why).alias("novelty_reason"),
+        F.to_json(F.coalesce("evidence_ids", F.array("raw_event_id"))).alias("raw_event_ids"), F.lit(GROUND_TRUTH).alias("ground_truth_overlap_yes_no"),
+        "archive_name", "member_name", "line_number", F.col("period_role").alias("period"), "chain_id", F.col("construction").alias("construction_type"), F.lit(LINKS[OBSERVED]).alias("link_status"),
+        *[text(c) for c in ("actor_id_raw", "object_id_raw", "pid_raw", "ppid_raw")], "normalization_status",
+        "benign_chain_count", "benign_command_count", "evaluation_chain_count", "evaluation_command_count",
+        F.when(F.col("part") == 0, "common_verified_benign_example").otherwise("unusual_evaluation_example").alias("evidence_selection_reason"),
+    )
 
 
-def rulebook(t14_rows: DataFrame) -> DataFrame:
+def chain_summary(t14_rows: DataFrame) -> DataFrame:
+    """Chains and their events by role, construction and novelty."""
     return t14_rows.groupBy("period_role", "construction", "novelty").agg(F.count("*").alias("n_chains"), F.sum("n").alias("n"))
 
 
+# Ids of the rules of commands.normalized; each with what it does, an example, what stays, and the risk.
+RULES = [
+    ("cmd_outer_whitespace_v1", "white space around the line goes", "  tool.exe /flag value  ", "all tokens and their order", "low"),
+    ("cmd_full_token_uuid_v1", "a token that is a whole UUID becomes <UUID>", "tool.exe /id 123e4567-e89b-12d3-a456-426614174000 /x", "all other tokens", "medium: different ids become one"),
+    ("cmd_full_token_long_hex_v1", "a token of 0x and 8 hex digits or more becomes <HEX>", "tool.exe /h 0xdeadbeefcafebabe /v 0x1", "all other tokens, short hex numbers too", "medium: different numbers become one"),
+    ("cmd_full_token_long_decimal_v1", "a token of 8 decimal digits or more becomes <NUMBER>", "tool.exe /pid 12345678 /port 445", "all other tokens, short numbers too", "medium: different numbers become one"),
+    ("cmd_quoted_ephemeral_token_v1", "a quoted token changes only if all between its quotes has one of these forms", 'tool.exe --guid "123e4567-e89b-12d3-a456-426614174000"', "quotes and all other tokens", "medium: different ids become one"),
+    ("cmd_fallback_preserved_v1", "a line whose quotes don't pair stays as it is, trimmed", 'tool.exe "unterminated', "the whole line", "low: ids may remain"),
+]
+
+
+def rulebook(spark: SparkSession) -> DataFrame:
+    """The rules of command normalization, each applied to its example."""
+    rows = spark.createDataFrame(RULES, "rule_id string, transformation string, example_before string, preserved_tokens string, risk string")
+    return rows.select("rule_id", "transformation", "example_before", commands.normalized(F.col("example_before")).alias("example_after"), "preserved_tokens", "risk")

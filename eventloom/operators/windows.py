@@ -67,7 +67,7 @@ def compare(df: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def recommend(compared: DataFrame, status: str | Column = "ok") -> DataFrame:
-    """primary, backup, no/too fine, no/coarser or review_needed for each size: the first two that are under half empty with a median of 5."""
+    """primary, backup, no or review_needed for each size, and why: the first two that are under half empty with a median of 5."""
     from pyspark.sql.window import Window
 
     order = F.lit(0)
@@ -80,8 +80,14 @@ def recommend(compared: DataFrame, status: str | Column = "ok") -> DataFrame:
     first = F.min(F.when(F.col("_fits"), F.col("_i"))).over(every)
     second = F.coalesce(F.min(F.when(F.col("_fits") & (F.col("_nth") == 2), F.col("_i"))).over(every), F.lit(list(WIDTHS).index("1h")))
     d = d.withColumns({"_first": first, "_second": second})
-    said = (
-        F.when(F.col("_first").isNull(), "review_needed").when(F.col("_i") == F.col("_first"), "primary").when(F.col("_i") == F.col("_second"), "backup")
-        .when(F.col("_i") < F.col("_first"), "no/too fine").otherwise("no/coarser")
+    said = F.when(F.col("_first").isNull(), "review_needed").when(F.col("_i") == F.col("_first"), "primary").when(F.col("_i") == F.col("_second"), "backup").otherwise("no")
+    empty = F.coalesce(F.col("empty_pct").cast("string"), F.lit("?"))
+    named = lambda at: F.element_at(F.array(*[F.lit(s) for s in WIDTHS]), at + 1)
+    why = (
+        F.when(~(F.lit(status) == "ok"), "coverage is not sufficient to choose a window").when(F.col("_first").isNull(), "no window is under half empty with a median of 5 events")
+        .when(said == "primary", F.format_string("smallest window under half empty (%s%%) with a median of %s events", empty, F.col("median_events").cast("string")))
+        .when(said == "backup", F.format_string("next choice, %s%% empty", empty))
+        .when(F.col("_i") < F.col("_first"), F.format_string("too fine: %s%% empty or a median under 5 events; %s is better", empty, named(F.col("_first"))))
+        .otherwise(F.format_string("coarser than %s; only for sparse data", named(F.col("_second"))))
     )
-    return d.withColumn("recommendation", said).drop("_i", "_fits", "_nth", "_first", "_second")
+    return d.withColumns({"recommendation": said, "reason": why}).drop("_i", "_fits", "_nth", "_first", "_second")

@@ -187,7 +187,7 @@ CHAINS = LINEAGE + (
     f"UNION ALL SELECT a.period_role, a.window_start, a.host_id, [a.parent_cmp, a.child_cmp, x.child_cmp], 1, a.more + x.more, CASE WHEN a.mapping = 'resolved' AND x.mapping = 'resolved' THEN 'resolved' ELSE 'unresolved' END, least(a.first_time, x.first_time), greatest(a.last_time, x.last_time) FROM re a {_J.format('a', 'x')} WHERE x.child_cmp <> a.parent_cmp "
     f"UNION ALL SELECT a.period_role, a.window_start, a.host_id, [a.parent_cmp, a.child_cmp, x.child_cmp, y.child_cmp], 1, a.more + x.more + y.more, CASE WHEN a.mapping = 'resolved' AND x.mapping = 'resolved' AND y.mapping = 'resolved' THEN 'resolved' ELSE 'unresolved' END, least(a.first_time, x.first_time, y.first_time), greatest(a.last_time, x.last_time, y.last_time) FROM re a {_J.format('a', 'x')} {_J.format('x', 'y')} WHERE x.child_cmp <> a.parent_cmp AND y.child_cmp NOT IN (a.parent_cmp, a.child_cmp) "
     f"UNION ALL SELECT a.period_role, a.window_start, a.host_id, [a.parent_cmp, a.child_cmp, x.child_cmp, y.child_cmp, z.child_cmp], 1, a.more + x.more + y.more + z.more, CASE WHEN a.mapping = 'resolved' AND x.mapping = 'resolved' AND y.mapping = 'resolved' AND z.mapping = 'resolved' THEN 'resolved' ELSE 'unresolved' END, least(a.first_time, x.first_time, y.first_time, z.first_time), greatest(a.last_time, x.last_time, y.last_time, z.last_time) FROM re a {_J.format('a', 'x')} {_J.format('x', 'y')} {_J.format('y', 'z')} WHERE x.child_cmp <> a.parent_cmp AND y.child_cmp NOT IN (a.parent_cmp, a.child_cmp) AND z.child_cmp NOT IN (a.parent_cmp, a.child_cmp, x.child_cmp)), "
-    "cw AS (SELECT *, CAST(len(nodes) AS BIGINT) AS length, CASE WHEN len(nodes) = 2 THEN 'observed' ELSE 'inferred' END AS construction, array_to_string(nodes, ' -> ') AS chain, 'pch_' || sha256(rtrim(to_json(['chain_v1', host_id, CASE WHEN len(nodes) = 2 THEN 'observed' ELSE 'inferred' END])::VARCHAR, ']') || ',' || to_json(nodes)::VARCHAR || ']')[1:32] AS chain_id FROM ch), "
+    "cw AS (SELECT *, CAST(len(nodes) AS BIGINT) AS length, CASE WHEN len(nodes) = 2 THEN 'observed_same_event' ELSE 'inferred_path_composition' END AS construction, array_to_string(nodes, ' -> ') AS chain, 'pch_' || sha256(rtrim(to_json(['chain_v1', host_id, CASE WHEN len(nodes) = 2 THEN 'observed_same_event' ELSE 'inferred_path_composition' END])::VARCHAR, ']') || ',' || to_json(nodes)::VARCHAR || ']')[1:32] AS chain_id FROM ch), "
     "bo AS (SELECT host_id, chain_id, CAST(coalesce(sum(n) FILTER (WHERE period_role = 'verified_benign'), 0) AS BIGINT) AS benign_count, CAST(coalesce(sum(n) FILTER (WHERE period_role = 'evaluation'), 0) AS BIGINT) AS evaluation_count FROM cw GROUP BY 1, 2)"
 )
 LW = f"WITH {EV}, {T9}, {B}, "
@@ -241,7 +241,7 @@ def benign_rank(spark, sf_dir):
 
 
 T14 = f"""{CHAINS}, {NEXT}, a AS (SELECT period_role, host_id, chain_id, CAST(sum(n) AS BIGINT) AS n, min(first_time) AS first_time, max(last_time) AS last_time, max(ambiguity) AS max_ambiguity, count(*) AS n_windows, arg_min(chain, window_start) AS chain, arg_min(nodes, window_start) AS nodes, arg_min(length, window_start) AS length, arg_min(construction, window_start) AS construction, arg_min(mapping, window_start) AS mapping FROM cw GROUP BY 1, 2, 3),
-t14 AS (SELECT a.*, benign_count, evaluation_count, next_process, support, next_share, CASE WHEN mapping = 'unresolved' THEN 'unresolved_mapping' WHEN construction = 'inferred' AND benign_count = 0 THEN 'inferred_chain_only' WHEN benign_count = 0 THEN 'unseen_in_benign' WHEN benign_count <= 5 THEN 'rare_in_benign' ELSE 'common_in_benign' END AS novelty FROM a JOIN bo USING (host_id, chain_id) LEFT JOIN np ON np.host_id = a.host_id AND np.parent_cmp = a.nodes[-1])"""
+t14 AS (SELECT a.*, benign_count, evaluation_count, next_process, support, next_share, CASE WHEN mapping = 'unresolved' THEN 'unresolved_mapping' WHEN construction = 'inferred_path_composition' AND benign_count = 0 THEN 'inferred_chain_only' WHEN benign_count = 0 THEN 'unseen_in_verified_benign' WHEN benign_count <= 5 THEN 'rare_in_verified_benign' ELSE 'common_in_verified_benign' END AS novelty FROM a JOIN bo USING (host_id, chain_id) LEFT JOIN np ON np.host_id = a.host_id AND np.parent_cmp = a.nodes[-1])"""
 
 
 @query(f"{LW}{T14} SELECT period_role, host_id, chain_id, chain, length, construction, mapping, n, first_time, last_time, max_ambiguity, n_windows, benign_count, evaluation_count, next_process, support, next_share, novelty FROM t14")
@@ -249,32 +249,48 @@ def chain_frequency_t14(spark, sf_dir):
     return lineage.t14(_chains(spark, sf_dir)).select("period_role", "host_id", "chain_id", "chain", "length", "construction", "mapping", "n", "first_time", "last_time", "max_ambiguity", "n_windows", "benign_count", "evaluation_count", "next_process", "support", "next_share", "novelty")
 
 
-@query(f"{LW}{T14}, z AS (SELECT host_id, chain_id, novelty FROM t14 WHERE period_role = 'evaluation' AND novelty NOT IN ('unresolved_mapping', 'common_in_benign')) SELECT window_start, cw.host_id, novelty, count(*) AS n_chains FROM cw JOIN z ON z.host_id = cw.host_id AND z.chain_id = cw.chain_id WHERE period_role = 'evaluation' GROUP BY 1, 2, 3")
+@query(f"{LW}{T14}, z AS (SELECT host_id, chain_id, novelty FROM t14 WHERE period_role = 'evaluation' AND novelty NOT IN ('unresolved_mapping', 'common_in_verified_benign')) SELECT window_start, cw.host_id, novelty, count(*) AS n_chains FROM cw JOIN z ON z.host_id = cw.host_id AND z.chain_id = cw.chain_id WHERE period_role = 'evaluation' GROUP BY 1, 2, 3")
 def chain_novelty_f8(spark, sf_dir):
     w = _chains(spark, sf_dir)
     return lineage.chain_novelty(lineage.t14(w), w)
 
 
-COMMANDS = f"{LINEAGE}cc AS (SELECT host_id, {COMMAND_SQL.format('command_line_raw')} AS command, CASE WHEN command_line_raw = '' THEN 'insufficient_or_missing_command' WHEN {COMMAND_SQL.format('command_line_raw')} <> command_line_raw THEN 'normalized' ELSE 'unchanged' END AS status, count(*) FILTER (WHERE period_role = 'verified_benign') AS benign_count, count(*) FILTER (WHERE period_role = 'evaluation') AS evaluation_count FROM s GROUP BY 1, 2, 3)"
+COMMANDS = f"{LINEAGE}cc AS (SELECT {COMMAND_SQL.format('command_line_raw')} AS command, CASE WHEN command_line_raw = '' THEN 'insufficient_or_missing_command' ELSE 'normalized_v1' END AS status, count(*) FILTER (WHERE period_role = 'verified_benign') AS benign_count, count(*) FILTER (WHERE period_role = 'evaluation') AS evaluation_count FROM s GROUP BY 1, 2)"
+KNOWN = f"{COMMANDS}, kb AS (SELECT command, CAST(sum(CASE WHEN command <> '' THEN benign_count ELSE 0 END) AS BIGINT) AS benign_count, CAST(sum(CASE WHEN command <> '' THEN evaluation_count ELSE 0 END) AS BIGINT) AS evaluation_count FROM cc GROUP BY 1), v AS (SELECT *, {COMMAND_SQL.format('command_line_raw')} AS command FROM s WHERE period_role = 'evaluation')"
 
 
-@query(f"{LW}{COMMANDS} SELECT *, CASE WHEN command = '' THEN 'insufficient_or_missing_command' WHEN benign_count = 0 THEN 'unseen_in_benign' WHEN benign_count <= 5 THEN 'rare_in_benign' ELSE 'common_in_benign' END AS novelty FROM cc")
+@query(f"{LW}{COMMANDS} SELECT *, CASE WHEN command = '' THEN 'insufficient_or_missing_command' WHEN benign_count = 0 THEN 'unseen_in_verified_benign' WHEN benign_count <= 5 THEN 'rare_in_verified_benign' ELSE 'common_in_verified_benign' END AS novelty FROM cc")
 def command_novelty(spark, sf_dir):
     return lineage.command_novelty(lineage.command_counts(_scan(spark, sf_dir)))
 
 
-@query(f"{LW}{COMMANDS}, kb AS (SELECT host_id, command, CAST(sum(benign_count) AS BIGINT) AS benign_count FROM cc GROUP BY 1, 2), v AS (SELECT *, {COMMAND_SQL.format('command_line_raw')} AS command FROM s WHERE period_role = 'evaluation') SELECT event_time, archive_name, member_name, line_number, raw_event_id, v.host_id, v.command, coalesce(benign_count, 0) AS benign_count FROM v LEFT JOIN kb ON kb.host_id = v.host_id AND kb.command = v.command WHERE v.command = '' OR coalesce(benign_count, 0) <= 5 ORDER BY event_time, archive_name, member_name, line_number, raw_event_id LIMIT 200")
+@query(f"{LW}{COMMANDS} SELECT status, CAST(sum(benign_count + evaluation_count) AS BIGINT) AS n FROM cc GROUP BY 1")
+def command_status(spark, sf_dir):
+    return lineage.command_status(lineage.command_counts(_scan(spark, sf_dir)))
+
+
+@query(f"{LW}{KNOWN} SELECT event_time, archive_name, member_name, line_number, raw_event_id, v.host_id, v.command, benign_count AS benign_command_count, evaluation_count AS evaluation_command_count FROM v JOIN kb USING (command) WHERE v.command = '' OR benign_count <= 5 ORDER BY event_time, archive_name, member_name, line_number, raw_event_id LIMIT 200")
 def unusual_commands(spark, sf_dir):
-    s = cut(_scan(spark, sf_dir))
-    return lineage.unusual_commands(s, lineage.command_counts(s), limit=200)
+    found = lineage.unusual_commands(cut(_scan(spark, sf_dir)), limit=200)
+    return found.select("event_time", "archive_name", "member_name", "line_number", "raw_event_id", "host_id", "command", "benign_command_count", "evaluation_command_count")
+
+
+@query(f"{LW}{KNOWN} SELECT v.host_id, window_start, count(*) AS command_novelty_count FROM v JOIN kb USING (command) WHERE v.command <> '' AND benign_count <= 5 GROUP BY 1, 2")
+def command_novelty_f8(spark, sf_dir):
+    return lineage.command_windows(cut(_scan(spark, sf_dir)))
 
 
 @query()
 def evidence_t15(spark, sf_dir):
     s = cut(_scan(spark, sf_dir))
-    return lineage.t15(cut(lineage.t14(cut(lineage.chains(cut(lineage.edges(s)))))), s, cut(lineage.command_counts(s)))
+    return lineage.t15(cut(lineage.chains(cut(lineage.edges(s)))), s)
+
+
+@query(f"{LW}{T14} SELECT period_role, construction, novelty, count(*) AS n_chains, CAST(sum(n) AS BIGINT) AS n FROM t14 GROUP BY 1, 2, 3")
+def chain_summary(spark, sf_dir):
+    return lineage.chain_summary(lineage.t14(_chains(spark, sf_dir)))
 
 
 @query()
 def rulebook_d2(spark, sf_dir):
-    return lineage.rulebook(lineage.t14(_chains(spark, sf_dir)))
+    return lineage.rulebook(spark)

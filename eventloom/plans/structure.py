@@ -145,7 +145,7 @@ def window_compare(spark, sf_dir):
 
 
 @query(f"""{COMPARE}, o AS (SELECT *, CASE window_size WHEN '1min' THEN 0 WHEN '5min' THEN 1 WHEN '15min' THEN 2 WHEN '1h' THEN 3 ELSE 4 END AS i FROM cp), f AS (SELECT min(i) AS a FROM o WHERE empty_pct < 50 AND median_events >= 5), s AS (SELECT coalesce(min(i), 3) AS b FROM o, f WHERE empty_pct < 50 AND median_events >= 5 AND i > a)
-SELECT window_size, empty_pct, median_events, CASE WHEN a IS NULL THEN 'review_needed' WHEN i = a THEN 'primary' WHEN i = b THEN 'backup' WHEN i < a THEN 'no/too fine' ELSE 'no/coarser' END AS recommendation FROM o, f, s""")
+SELECT window_size, empty_pct, median_events, CASE WHEN a IS NULL THEN 'review_needed' WHEN i = a THEN 'primary' WHEN i = b THEN 'backup' ELSE 'no' END AS recommendation FROM o, f, s""")
 def window_recommend(spark, sf_dir):
     return windows.recommend(windows.compare(events(spark, sf_dir))).select("window_size", "empty_pct", "median_events", "recommendation")
 
@@ -165,7 +165,7 @@ def gap_segments(spark, sf_dir):
 WINDOWS_SQL = "(regexp_matches({0}, '^[A-Za-z]:[\\\\/]') OR {0} LIKE '//%' OR position(chr(92) IN {0}) > 0)"
 IPV4_SQL = "regexp_full_match({0}, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){{3}}')"
 _W, _I = WINDOWS_SQL.format("raw_value"), IPV4_SQL.format("raw_value")
-CLASS_SQL = "CASE WHEN NOT " + IPV4_SQL + " THEN 'other_non_global/unresolved' WHEN {0} LIKE '127.%' THEN 'loopback' WHEN {0} LIKE '224.%' THEN 'multicast' WHEN {0} LIKE '10.%' OR {0} LIKE '192.168.%' OR {0} LIKE '169.254.%' THEN 'internal-looking' ELSE 'external-looking' END"
+CLASS_SQL = "CASE WHEN NOT " + IPV4_SQL + " THEN 'other_non_global/unresolved' WHEN {0} LIKE '127.%' THEN 'loopback' WHEN {0} LIKE '224.%' THEN 'multicast' WHEN {0} LIKE '10.%' OR {0} LIKE '192.168.%' THEN 'internal-looking' WHEN {0} LIKE '169.254.%' THEN 'other_non_global/unresolved' ELSE 'external-looking' END"
 _PK = "upper(trim(object_raw)) IN ('PROCESS','FLOW','FILE','MODULE','THREAD','SHELL')"
 _L = "event_time, archive_name, member_name, line_number, raw_event_id"
 T9 = (

@@ -45,9 +45,9 @@ def test_path_forms(spark):
 
 
 @pytest.mark.parametrize(("raw", "expected", "kind"), [
-    ("127.0.0.1", "loopback", "loopback"), ("169.254.1.1", "link_local", "internal-looking"), ("224.0.0.1", "multicast", "multicast"), ("0.0.0.0", "unspecified", "other_non_global/unresolved"),
+    ("127.0.0.1", "loopback", "loopback"), ("169.254.1.1", "link_local", "other_non_global/unresolved"), ("224.0.0.1", "multicast", "multicast"), ("0.0.0.0", "unspecified", "other_non_global/unresolved"),
     ("172.16.0.1", "private", "internal-looking"), ("8.8.8.8", "global_syntax", "external-looking"), ("192.0.2.1", "reserved", "other_non_global/unresolved"), ("255.255.255.255", "reserved", "limited_broadcast"),
-    ("256.1.1.1", "hostname_or_other", "other_non_global/unresolved"), ("::1", "loopback", "loopback"), ("fe80::1", "link_local", "internal-looking"), ("fc00::1", "private", "internal-looking"), ("2001:4860::1", "global_syntax", "external-looking"), ("x.example", "hostname_or_other", "other_non_global/unresolved"), ("", "unknown", "other_non_global/unresolved"),
+    ("256.1.1.1", "hostname_or_other", "other_non_global/unresolved"), ("::1", "loopback", "loopback"), ("fe80::1", "link_local", "other_non_global/unresolved"), ("fc00::1", "private", "internal-looking"), ("2001:4860::1", "global_syntax", "external-looking"), ("x.example", "hostname_or_other", "other_non_global/unresolved"), ("", "unknown", "other_non_global/unresolved"),
 ])
 def test_addresses(spark, raw, expected, kind):
     assert one(spark, raw, "string", ip.category) == expected
@@ -69,7 +69,8 @@ def test_address_numbers(spark, numbers):
 
 @pytest.mark.parametrize(("raw", "expected"), [
     ("run 12345678", "run <NUMBER>"), ("run 1234567", "run 1234567"), ("run id=12345678", "run id=12345678"), ('x "0xDEADBEEF" y', 'x "<HEX>" y'), ("a1b2c3d4-0000-1111-2222-333344445555", "<UUID>"),
-    ('x "12345678', 'x "12345678'), ("  ", ""), (None, ""),
+    ('run "foo 12345678 bar"', 'run "foo 12345678 bar"'), ("run '12345678' 12345678", "run '<NUMBER>' <NUMBER>"), ('a "b \\" 0xDEADBEEF" c"d\'12345678\'"', 'a "b \\" 0xDEADBEEF" c"d\'12345678\'"'),
+    ('x "12345678', 'x "12345678'), ("  a  12345678\t x ", "a  <NUMBER>\t x"), ('"' + "a" * 20000 + '" 12345678', '"' + "a" * 20000 + '" <NUMBER>'), ("  ", ""), (None, ""),
 ])
 def test_commands(spark, raw, expected):
     assert one(spark, raw, "string", commands.normalized) == expected

@@ -53,9 +53,9 @@ def test_bucket_table(spark):
 
 
 @pytest.mark.parametrize(("rows", "status", "expected"), [
-    ([("1min", 90.0, 1.0), ("5min", 40.0, 6.0), ("15min", 10.0, 9.0), ("1h", 0.0, 50.0), ("1d", 0.0, 99.0)], "ok", ["no/too fine", "primary", "backup", "no/coarser", "no/coarser"]),
+    ([("1min", 90.0, 1.0), ("5min", 40.0, 6.0), ("15min", 10.0, 9.0), ("1h", 0.0, 50.0), ("1d", 0.0, 99.0)], "ok", ["no", "primary", "backup", "no", "no"]),
     ([("1min", 90.0, 1.0), ("5min", 40.0, 6.0), ("15min", 10.0, 9.0), ("1h", 0.0, 50.0), ("1d", 0.0, 99.0)], "insufficient", ["review_needed"] * 5),
-    ([("1min", 90.0, 1.0), ("5min", 90.0, 6.0), ("15min", 60.0, 9.0), ("1h", 70.0, 50.0), ("1d", 0.0, 99.0)], "ok", ["no/too fine", "no/too fine", "no/too fine", "backup", "primary"]),
+    ([("1min", 90.0, 1.0), ("5min", 90.0, 6.0), ("15min", 60.0, 9.0), ("1h", 70.0, 50.0), ("1d", 0.0, 99.0)], "ok", ["no", "no", "no", "backup", "primary"]),
 ])
 def test_recommendation(spark, rows, status, expected):
     c = spark.createDataFrame(rows, "window_size string, empty_pct double, median_events double")
