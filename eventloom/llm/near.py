@@ -9,8 +9,9 @@ a pair is beyond LIMIT (31 of 64) with a probability of about 1e-5, and less abo
 
 Pairs within LIMIT join nodes to families: a bucket's members first with its smallest, then, in buckets whose members are
 still in different families, all with all, in tiles of bounded size that return one edge for each union. Links are
-confirmed on the full sets of a family, all pairs of it, in such tiles too. So all pairs within LIMIT are confirmed or
-refuted, while rows grow with the nodes, not with the pairs.
+confirmed on the full sets: each node with the nearest of its buckets' smallest members, one pair a node; then, in families
+that this leaves in several parts, all pairs across parts, in such tiles too. So all pairs within LIMIT are linked or
+refuted. A family in one part costs a row a node; one of n nodes in several parts costs n * n / TILE rows.
 
 Cases: null or empty text, or text without words, has an empty set, is linked with nothing and is its own component; fewer
 than five words make one shingle; ids that are null take no part and return a null component_id and kept true; repeated
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import cut, modest_batches, of_ids
+from .shared import cut, modest_batches, of_ids, release
 
 WORDS, PERCENT = 5, 75
 POSITIONS, CHUNK, ERRORS = 64, 4, 1
@@ -128,14 +129,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v of rows u, v, su, sv that are within LIMIT."""
+    """u, v and distance of rows u, v, su, sv that are within LIMIT."""
     for b in batches:
         if not b.num_rows:
             continue
         a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, POSITIONS) for k in (2, 3))
         d = (a != c).sum(axis=1)
         ok = np.flatnonzero(d <= LIMIT)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok))], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(d[ok], pa.int64())], ["u", "v", "d"])
 
 
 def _by_tile(width: int, close):
@@ -212,13 +213,13 @@ def _met(t: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Edges of similar sets, one for each union in a tile: family, i, j, side, node, s."""
+    """Edges of similar sets that aren't known to be linked, one for each union in a tile: family, i, j, side, node, s, known."""
     us, vs = [], []
     for a, z in _cuts(t, 3):
         part = t.slice(a, z - a)
         side, node = part.column(3).to_numpy(), part.column(4).to_numpy().tolist()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in part.column(5).chunks for x in c]
-        size = np.array([len(x) for x in sets])
+        size, known = np.array([len(x) for x in sets]), part.column(6).to_numpy()
         starts = np.concatenate(([0], np.cumsum(size)[:-1]))
         names, place = np.unique(np.concatenate(sets), return_inverse=True)
         whole = part.column(1)[0] == part.column(2)[0]
@@ -228,7 +229,7 @@ def _confirm(t: pa.Table) -> Iterator[pa.RecordBatch]:
             held[own] = True
             both = np.add.reduceat(held[place], starts, dtype=np.int64)
             held[own] = False
-            ok = 100 * both >= PERCENT * (size + size[x] - both)
+            ok = (100 * both >= PERCENT * (size + size[x] - both)) & (known != known[x])
             if whole:
                 ok[: x + 1] = False
             else:
@@ -240,6 +241,17 @@ def _confirm(t: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v of rows u, v, su, sv whose sets are similar."""
+    for b in batches:
+        ok = []
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
@@ -256,22 +268,32 @@ def tiles(rows: DataFrame, key: str, parts: Column) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) of every node on an edge u, v: by contraction, each round a smaller graph."""
+    """node, comp (smallest node reachable) of every node on an edge u, v.
+
+    Each round contracts: a node moves to that of its neighbours and itself with the least hash, another hash each round, so
+    the graph shrinks by a share that doesn't depend on its shape, and a chain takes logarithmically many rounds."""
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    steps = []
+    steps: list[DataFrame] = []
     while edges.limit(1).count():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), F.col(c)).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
         ends = edges.select("u", "v").union(edges.select("v", "u")).toDF("node", "to")
-        to = cut(ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to")))
+        least = ends.groupBy("node").agg(F.min(rank("to")).alias("to"))
+        to = cut(least.select("node", F.least("to", rank("node"))["x"].alias("to")))
         steps.append(to)
         moved = edges.join(to.toDF("u", "a"), "u").join(to.toDF("v", "b"), "v").where("a <> b")
-        edges = cut(moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        used, edges = edges, cut(moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        release(used)
     if not steps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     out = steps[0].toDF("node", "comp")
     for k, to in enumerate(steps[1:]):
         # nodes of a later graph are targets of the one before
         out = out.join(to.toDF("comp", f"to{k}"), "comp", "left").select("node", F.coalesce(f"to{k}", "comp").alias("comp"))
-    return cut(out)
+    named = cut(out)
+    smallest = named.groupBy("comp").agg(F.min("node").alias("least"))
+    out = cut(named.join(smallest, "comp").select("node", F.col("least").alias("comp")))
+    release(named, *steps)
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -293,20 +315,28 @@ def dedup(docs: DataFrame) -> DataFrame:
     fit = f"100 * least(n, vn) >= {PERCENT} * greatest(n, vn)"
     stars = met.where("node <> v").where(fit).select(F.col("node").alias("u"), "v").distinct()
     stars = stars.join(sigs.toDF("u", "su"), "u").join(sigs.toDF("v", "sv"), "v").select("u", "v", "su", "sv")
-    near = cut(stars.mapInArrow(_distances, "u long, v long"))
-    comps = components(near)
+    near = cut(stars.mapInArrow(_distances, "u long, v long, d long"))
+    comps = components(near.select("u", "v"))
     large = met.where("size > 2").select("key", "node", "n", "size").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = large.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi").join(sigs, "node")
     joined = tiles(mixed, "key", F.ceil(F.col("size") / TILE).cast("int")).select("key", "i", "j", "side", "node", "n", "comp", "sig")
-    families = components(near.union(joined.mapInArrow(_by_tile(3, _met), "u long, v long")))
-
-    # links: similar sets within a family
-    of_family = families.join(nodes.select("node", "n"), "node").groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    families = components(near.select("u", "v").union(joined.mapInArrow(_by_tile(3, _met), "u long, v long")))
+
+    # links: first each node of a family with the nearest of its buckets' smallest; families that this makes one are done
+    member = families.join(nodes.select("node", "n"), "node")
+    sets = cut(of_ids(docs, member.select("node")).select("doc_id", "text").mapInArrow(_sets, "node long, s binary").distinct())
+    nearest = near.groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select("u", "x.v")
+    pairs = nearest.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v").select("u", "v", "su", "sv")
+    stars = cut(pairs.mapInArrow(_similar, "u long, v long"))
+    known = components(stars).toDF("node", "known")
+    member = cut(member.join(known, "node", "left").withColumn("known", F.coalesce("known", "node")))
+    open_ = member.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi")
+
+    # then all pairs of nodes of the others that aren't linked yet
     parts = F.ceil(F.greatest(F.col("size") / TILE, F.col("total") / SHINGLES)).cast("int")
-    members = cut(families.join(of_family.select("comp", parts.alias("parts")), "comp"))
-    sets = of_ids(docs, members.select("node")).select("doc_id", "text").mapInArrow(_sets, "node long, s binary")
-    dealt = tiles(sets.join(members, "node"), "comp", F.col("parts")).select("comp", "i", "j", "side", "node", "s")
-    final = components(dealt.mapInArrow(_by_tile(3, _confirm), "u long, v long"))
+    members = cut(member.join(open_.select("comp", parts.alias("parts")), "comp").select("node", "comp", "known", "parts"))
+    dealt = tiles(sets.join(members, "node"), "comp", F.col("parts")).select("comp", "i", "j", "side", "node", "s", "known")
+    final = components(stars.union(dealt.mapInArrow(_by_tile(3, _confirm), "u long, v long")))
 
     member = nodes.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id"))
     found = base.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(member, "set_key", "left")
