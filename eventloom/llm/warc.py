@@ -40,17 +40,21 @@ def record(url: Column, payload: Column, date: str = "1970-01-01T00:00:00Z") ->
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def archive_pages(pages: DataFrame) -> DataFrame:
-    """archive, offset, length, page_id, record of pages (page_id, url, html): PER_ARCHIVE ids a file, in order of id and url."""
+def archive_pages(pages: DataFrame, bodies: bool = True) -> DataFrame:
+    """archive, offset, length, digest, page_id, record of pages (page_id, url, html): PER_ARCHIVE ids a file, in order of id,
+    url and digest. Without bodies no record moves: lengths and digests alone are sorted by archive."""
     rows = pages.select("page_id", record(F.col("url"), F.col("html")).alias("record"), F.coalesce("url", F.lit("")).alias("url"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long")).withColumn("archive", F.coalesce(F.floor(F.col("page_id") / PER_ARCHIVE), F.lit(-1) - F.pmod(F.xxhash64("url"), F.lit(4096))))
-    order = Window.partitionBy("archive").orderBy("page_id", "url", "record")
-    return rows.select("archive", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "page_id", "record")
+    rows = rows.withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", F.sha2("record", 256)).withColumn("archive", F.coalesce(F.floor(F.col("page_id") / PER_ARCHIVE), F.lit(-1) - F.pmod(F.xxhash64("url"), F.lit(4096))))
+    order = Window.partitionBy("archive").orderBy("page_id", "url", "digest")
+    rows = rows if bodies else rows.drop("record")
+    return rows.select("archive", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "digest", "page_id", *(["record"] if bodies else []))
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """archive, offset, length, digest of records (archive, offset, record), with n for repeated ones."""
-    one = records.select("archive", "offset", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    """archive, offset, length, digest of records (archive, offset, and record or its length and digest), with n for repeated ones."""
+    if "record" in records.columns:
+        records = records.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
+    one = records.select("archive", "offset", "length", "digest")
     return cut(one.groupBy("archive", "offset", "length", "digest").agg(F.count("*").alias("n")))
 
 
