@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let
+from .shared import BLOCK, blocks, let, starts
 
-END, HEAD, BLOCK = "</turn>", "### ", 512
+END, HEAD = "</turn>", "### "
 
 
 def escape(text: Column, role: bool = False) -> Column:
@@ -32,22 +32,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def _running(sizes: Column) -> Column:
-    """Sums before each element."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
-    return F.aggregate(sizes, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-
-
-def starts(sizes: Column) -> Column:
-    """Sums before each element, block by block: an array that grows by one is copied within a block only."""
-    def by_block(b: Column) -> Column:
-        totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v))
-        return F.flatten(F.zip_with(b, _running(totals), lambda x, at: F.transform(_running(x), lambda v: v + at)))
-
-    blocks = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda k: F.slice(s, k * BLOCK + 1, BLOCK))
-    return let(sizes, lambda s: let(blocks(s), by_block))
-
-
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (array of start and end, code points, end exclusive, of assistant texts)."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -77,7 +61,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def read_back(formatted: Column) -> Column:
     """The turns (role, text) of a formatted chat."""
     parts = F.slice(F.split(formatted, END, -1), 1, F.size(F.split(formatted, END, -1)) - 1)
-    head = r"(?s)^\n?### ((?:[^\\:]|\\.)*): "
+    head = r"(?s)^\n?### ((?:[^\\:]++|\\.)*+): "
 
     def runs(p: Column) -> Column:
         # a part without a heading has the role of the last part that has one
@@ -93,7 +77,14 @@ def read_back(formatted: Column) -> Column:
 def digest(formatted: DataFrame) -> DataFrame:
     """What the formatted texts hold, read back from them."""
     back = formatted.withColumn("t", read_back(F.col("formatted")))
-    masked = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    part = lambda text, a, z: F.substring(text, (a + 1).cast("int"), (z - a).cast("int"))
+
+    def of_block(b: Column) -> Column:
+        # a block's stretch of the text first, so that no span is counted out from the start of the whole
+        first, last = F.get(b, F.lit(0))["start"], F.element_at(b, -1)["end"]
+        return let(part(F.col("formatted"), first, last), lambda t: F.array_join(F.transform(b, lambda s: unescape(part(t, s["start"] - first, s["end"] - first))), ""))
+
+    masked = F.when(F.size("loss_spans") == 0, "").otherwise(F.array_join(F.transform(blocks(F.col("loss_spans"), BLOCK), of_block), ""))
     return back.withColumn("masked", masked).select(
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),

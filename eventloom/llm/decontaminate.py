@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, let, numbered, of_ids
+from .shared import cut, free, let, numbered, of_ids
 
 WORDS, PERCENT, MISS = 5, 75, 1e-9
 BROADCAST_ROWS = 2_000_000
@@ -117,10 +117,11 @@ def find(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The docs that hold no item; ids with several texts lose those that do."""
-    rows = numbered(docs)
-    bad = cut(contained(rows.select("doc_id", "row", "text"), items.select("item_id", "text"), percent).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct())
+    row = free(docs, "row")
+    rows = numbered(docs, row=row)
+    bad = cut(contained(numbered(docs.select("doc_id", "text")), items.select("item_id", "text"), percent).select("doc_id", "row").distinct())
     small = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return rows.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_anti").drop("row")
+    return rows.join(small, rows["doc_id"].eqNullSafe(small["doc_id"]) & (rows[row] == small["row"]), "left_anti").drop(row)
 
 
 #: The same containment by brute force in SQL.

@@ -73,7 +73,7 @@ def blocks(page: str | None) -> list[Block]:
     links = 0
 
     def flush() -> None:
-        text = " ".join(references.unescape("".join(t for t, _ in parts)).split())
+        text = " ".join("".join(references.unescape(t) for t, _ in parts).split())
         if text:
             inside = sum(len(t) for t, a in parts if a)
             out.append(Block(text, tuple(t for t, _ in stack), tuple(dict.fromkeys(h for _, v in stack for h in v)), inside / max(1, sum(len(t) for t, _ in parts))))

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, words
+from .shared import free, let, words
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -90,11 +90,12 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, n_lines, base_failed,
     failed_rules (array of names) and kept."""
-    m = docs.withColumn("_m", let(F.col(text), measures))
+    own = free(docs, "_m")
+    m = docs.withColumn(own, let(F.col(text), measures))
     names = {"n_words": "w", "word_chars": "w", "n_symbols": "", "n_dup_lines": "l", "n_repeat_words": "w", "n_stop_words": "w", "n_lines": "l"}
-    m = m.withColumns({k: F.col("_m")[v][k] if v else F.col("_m")[k] for k, v in names.items()})
+    m = m.withColumns({k: F.col(own)[v][k] if v else F.col(own)[k] for k, v in names.items()})
     m = m.withColumn("base_failed", F.expr(BASE)).withColumn("failed_rules", compile_rules(rules))
-    return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_m")
+    return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(own)
 
 
 def _oracle() -> str:

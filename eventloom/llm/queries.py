@@ -37,8 +37,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC archives against a replica with changed and lost records."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    replica = warc.archive_pages(warc.damaged(pages)).where(~F.coalesce(F.col("page_id") % warc.LOST[0] == warc.LOST[1], F.lit(False)))
-    return warc.audit(warc.leaves(warc.archive_pages(pages)), warc.leaves(replica))
+    replica = warc.archive_pages(warc.damaged(pages), bodies=False).where(~F.coalesce(F.col("page_id") % warc.LOST[0] == warc.LOST[1], F.lit(False)))
+    return warc.audit(warc.leaves(warc.archive_pages(pages, bodies=False)), warc.leaves(replica))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

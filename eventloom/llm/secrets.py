@@ -21,7 +21,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import let
+from .shared import blocks, let, starts
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: kind: pattern, group whose length counts, least length
@@ -32,6 +32,8 @@ BASE = {
 }
 KINDS = (*BASE, "random")
 LEAST = 20
+#: Runs whose base spans are looked for at once.
+RUNS = 64
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Natural-log units a transition, and of the sum that ends a segment.
 THRESHOLD, DROP = 0.25, 8.0
@@ -93,17 +95,11 @@ def _placed(text: Column, pattern: str, group: int, least: int, kind: str) -> Co
     sizes = F.transform(whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
 
     def spans(m: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), F.length)
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-        steps = F.transform(F.arrays_zip(F.transform(m, F.length).alias("size"), sizes.alias("counts"), gaps.alias("gap")), lambda x: x)
-
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + x["gap"]
-            end = start + F.coalesce(x["size"], F.lit(0))
-            one = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end")))
-            return F.struct(end.alias("at"), F.when(x["counts"] >= least, F.concat(a["out"], one)).otherwise(a["out"]).cast(SPAN).alias("out"))
-
-        return F.aggregate(steps, zero, step, lambda a: a["out"])
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long")), 1, F.size(m))
+        steps = F.arrays_zip(F.transform(m, F.length).alias("size"), sizes.alias("counts"), gaps.alias("gap"))
+        one = lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (at + x["gap"] + x["size"]).alias("end"), x["counts"].alias("counts"))
+        placed = let(steps, lambda v: F.zip_with(v, starts(F.transform(v, lambda x: x["gap"] + x["size"])), one))
+        return F.transform(F.filter(placed, lambda x: x["counts"] >= least), lambda x: F.struct(x["start"], x["rank"], x["kind"], x["end"])).cast(SPAN)
 
     return let(whole, lambda m: F.when(F.size(m) == 0, F.array().cast(SPAN)).otherwise(spans(m)))
 
@@ -154,9 +150,18 @@ def scan(docs: DataFrame, text: str = "text", ratios: list[float] | None = None,
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.array_sort(F.concat(*[_placed(body, *BASE[k], k) for k in BASE]))
     runs = _placed(body, CANDIDATE, 0, LEAST, "random")
-    free = lambda b: F.flatten(F.transform(runs, lambda s: _left(s, b)))
-    token = lambda s: F.substring(body, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-    scored = lambda b: F.flatten(F.transform(free(b), lambda s: let(log_ratios(token(s), ratios), lambda v: _random(s, v, threshold))))
+    part = lambda t, a, z: F.substring(t, (a + 1).cast("int"), (z - a).cast("int"))
+
+    def of_block(b: Column, some: Column) -> Column:
+        # a block of runs has its stretch of the text, and the base spans there
+        first, last = F.get(some, F.lit(0))["start"], F.element_at(some, -1)["end"]
+        near = F.filter(b, lambda x: (x["start"] < last) & (first < x["end"]))
+        free = let(near, lambda n: F.flatten(F.transform(some, lambda s: _left(s, n))))
+        score = lambda t, s: let(log_ratios(part(t, s["start"] - first, s["end"] - first), ratios), lambda v: _random(s, v, threshold))
+        return let(part(body, first, last), lambda t: F.flatten(F.transform(free, lambda s: score(t, s))))
+
+    none = F.array().cast(SPAN)
+    scored = lambda b: let(runs, lambda r: F.when(F.size(r) == 0, none).otherwise(F.flatten(F.transform(blocks(r, RUNS), lambda some: of_block(b, some)))))
     return docs.withColumn("found", let(base, lambda b: F.array_sort(F.concat(b, scored(b)))))
 
 

@@ -58,4 +58,28 @@ def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame
     return docs.join(small, F.col("doc_id").eqNullSafe(F.col("_id")), how)
 
 
+#: Elements of an array that are folded at once.
+BLOCK = 512
+
+
+def blocks(values: Column, size: int) -> Column:
+    """An array that isn't empty as arrays of `size` elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda k: F.slice(values, k * size + 1, size))
+
+
+def _running(sizes: Column) -> Column:
+    """Sums before each element."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+    return F.aggregate(sizes, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def starts(sizes: Column) -> Column:
+    """Sums before each element, block by block: an array that grows by one is copied within a block only."""
+    def by_block(b: Column) -> Column:
+        totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v))
+        return F.flatten(F.zip_with(b, _running(totals), lambda x, at: F.transform(_running(x), lambda v: v + at)))
+
+    return F.when(F.size(sizes) == 0, F.array().cast("array<long>")).otherwise(let(sizes, lambda s: let(blocks(s, BLOCK), by_block)))
+
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

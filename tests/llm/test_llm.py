@@ -295,6 +295,47 @@ def test_bpe(spark, docs, none):
     assert bpe.round_trip(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_near_chain_of_versions(spark):
+    """A chain contracts in few rounds, and the smallest id names it whatever the hashes."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(5, 1005)], "u long, v long")
+    found = near.components(edges).collect()
+    assert len(found) == 1001 and {r.comp for r in found} == {5}
+
+
+def test_near_equals_brute_force_on_documents(spark):
+    d = shared.table(spark, DATA, "documents").select("doc_id", "text")
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near.dedup(d).collect()}
+    assert got == components({r.doc_id: r.text for r in d.collect()})
+
+
+def test_long_roles_and_conversations(spark):
+    rows = [(1, 0, "r:" * 50_000, "x"), *((2, i, "assistant" if i % 2 else "user", f"t{i} é") for i in range(3000))]
+    got = {r.conv_id: r for r in chat.digest(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(("r:" * 50_000 + "\nx\n").encode()).hexdigest() and got[1].loss_chars == 0
+    assert got[2].loss_sha256 == hashlib.sha256("".join(f"t{i} é" for i in range(1, 3000, 2)).encode()).hexdigest()
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "password=abcdefgh12 kZq9xW3vT7mB2nR5pL8cY4d é " * 20_000
+    r = secrets.scan(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")).orderBy("doc_id").first()
+    by = collections.Counter(s.kind for s in r.found)
+    assert by == {"assign": 20_000, "random": 20_000} and all(text[s.start : s.end] == "kZq9xW3vT7mB2nR5pL8cY4d" for s in r.found if s.kind == "random")
+
+
+def test_html_references_do_not_form_across_tags(spark):
+    page = "<html><body><article><p>R&<b>copy</b> D &amp;copy; and &copy; in a sentence of the article, long enough.</p></article></body></html>"
+    assert html.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text == "R&copy D &copy; and © in a sentence of the article, long enough."
+
+
+def test_columns_of_any_name_stay(spark):
+    d = spark.createDataFrame([(1, "a b c\na b c", 7, 8, 9, 10, 11)], "doc_id long, text string, row long, _m long, _id_ long, _row_ long, line_no long")
+    items = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    for out in (lines.dedup_lines(d), decontaminate.clean(d, items), quality.judge(d)):
+        r = out.first()
+        assert (r.row, r._m, r._id_, r._row_, r.line_no) == (7, 8, 9, 10, 11)
+    assert lines.dedup_lines(d).first().text == "a b c"
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     d = shared.table(spark, DATA, "documents")
