@@ -270,12 +270,13 @@ def tiles(rows: DataFrame, key: str, parts: Column) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) of every node on an edge u, v.
 
-    Each round contracts: a node moves to that of its neighbours and itself with the least hash, another hash each round, so
-    the graph shrinks by a share that doesn't depend on its shape, and a chain takes logarithmically many rounds."""
+    Each round contracts: a node moves to the first of its neighbours and itself, by id in every other round, which ends a star
+    around its smallest node at once, and by a new hash in those between, which shrinks any graph by a share that doesn't
+    depend on its shape, so that a chain takes logarithmically many rounds."""
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     steps: list[DataFrame] = []
     while edges.limit(1).count():
-        rank = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), F.col(c)).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
+        rank = lambda c: F.struct((F.xxhash64(F.lit(len(steps)), F.col(c)) if len(steps) % 2 else F.lit(0).cast("long")).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
         ends = edges.select("u", "v").union(edges.select("v", "u")).toDF("node", "to")
         least = ends.groupBy("node").agg(F.min(rank("to")).alias("to"))
         to = cut(least.select("node", F.least("to", rank("node"))["x"].alias("to")))
