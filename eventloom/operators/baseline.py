@@ -14,6 +14,11 @@ from .entities import attach
 from .relational import BENIGN, EVALUATION, Interval, assign_period, earliest, first_k, new_in_evaluation, top_n
 from .taxonomy import semantic_group
 
+#: Columns of prepared events that the aggregates read.
+READ = [
+    *LOCATOR, "period_role", "window_start", "archive_date", "hour", "host_id", "user_id", "semantic_group", "object_raw", "host_raw",
+    "image_path_raw", "process_raw", "parent_image_path_raw", "parent_process_raw", "file_path_raw", "dest_ip_raw", "destination_raw",
+]
 KINDS = {"process": ["PROCESS"], "file": ["FILE"], "destination": ["FLOW"]}
 
 

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..state import cut
+
+#: Intervals up to which their frame is broadcast.
+PERIODS = 10_000
+
 UNASSIGNED = ("full_pilot_unassigned", "unassigned")
 BENIGN, EVALUATION, OTHER = "verified_benign", "evaluation", "other"
 
@@ -54,9 +59,10 @@ def assign_period(df: DataFrame, time: str, intervals: list[Interval]) -> DataFr
 
 
 def join_periods(df: DataFrame, time: str, periods: DataFrame) -> DataFrame:
-    """The same from a frame of intervals (period, start_time, end_time, period_role), a list of fixed length."""
+    """The same from a frame of intervals (period, start_time, end_time, period_role), broadcast if PERIODS rows or fewer are counted."""
     inside = (df[time] >= periods["start_time"]) & (df[time] < periods["end_time"])
-    out = df.join(F.broadcast(periods), inside, "left").drop("start_time", "end_time")
+    small = F.broadcast(periods) if periods.count() <= PERIODS else periods
+    out = df.join(small, inside, "left").drop("start_time", "end_time")
     return out.withColumns({"period": F.coalesce("period", F.lit(UNASSIGNED[0])), "period_role": F.coalesce("period_role", F.lit(UNASSIGNED[1]))})
 
 
@@ -107,9 +113,11 @@ def densify(buckets: DataFrame, time: str, seconds: int, values: list[str], limi
 
 
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """1..n over all rows: ranges of the order are numbered apart, then shifted by the counts before them."""
+    """1..n over all rows: ranges of the order are numbered apart, then shifted by the counts before them.
+
+    The ranges are written once, since both the numbers and the counts must come from the same ones."""
     parts = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
-    within = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    within = cut(parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     sizes = within.groupBy("_part").agg(F.max("_k").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return within.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(out, (F.col("_k") + F.col("_before")).cast("long")).drop("_part", "_k", "_before")

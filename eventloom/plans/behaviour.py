@@ -53,6 +53,7 @@ def _processes(spark, sf_dir) -> DataFrame:
 def _aggregates(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The four compact aggregates that profiles and deviations are made from."""
     e, d = _all(spark, sf_dir)
+    e = cut(e.select(baseline.READ))  # joined with the dictionary once
     return cut(baseline.core(e)), cut(baseline.processes(e, d)), cut(baseline.files(e)), cut(baseline.destinations(e, d))
 
 

@@ -83,6 +83,10 @@ def normalize(lines: DataFrame) -> DataFrame:
         "destination_raw": promoted["dest_ip_raw"], "object_value_raw": object_value(upper, promoted, own["object_id_raw"]), **own, **promoted,
         "properties_keys_raw": F.array_join(keys, ","), "unmapped_property_keys_raw": F.array_join(F.array_except(keys, F.array(*[F.lit(k) for k in MAPPED_KEYS])), ","),
     }
-    order = Window.partitionBy("archive_name").orderBy("member_name", "line_number")
-    flat = rows.select(F.row_number().over(order).cast("long").alias("file_id"), "archive_name", "member_name", F.col("line_number").cast("long").alias("line_number"), *[v.alias(c) for c, v in values.items()], F.when(~F.col("ok"), F.substring("line", 1, 300)).alias("error_snippet"))
+    # numbered within a member, after the rows of the archive's members before it, so that no task sorts a whole archive
+    sizes = rows.groupBy("archive_name", "member_name").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("archive_name").orderBy("member_name").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(sizes.select("archive_name", "member_name", F.coalesce(before, F.lit(0)).alias("_before")), ["archive_name", "member_name"])
+    order = Window.partitionBy("archive_name", "member_name").orderBy("line_number")
+    flat = rows.select((F.row_number().over(order) + F.col("_before")).cast("long").alias("file_id"), "archive_name", "member_name", F.col("line_number").cast("long").alias("line_number"), *[v.alias(c) for c, v in values.items()], F.when(~F.col("ok"), F.substring("line", 1, 300)).alias("error_snippet"))
     return flat.select(*COLUMNS, "error_snippet")

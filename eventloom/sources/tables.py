@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import shutil
@@ -97,12 +98,17 @@ def publish(path: str, write: Callable[[str], None]) -> None:
 
 
 def report_csv(df: DataFrame, path: str, limit: int = 1_000_000) -> int:
-    """A report as one CSV file; more than `limit` rows raise."""
-    rows = df.limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows")
-    write_text(path, rows.to_csv(index=False))
-    return len(rows)
+    """A report as one CSV file, all values quoted; rows come a partition at a time; more than `limit` raise."""
+    n = 0
+    with open(f"{path}.tmp", "w", encoding="utf-8", newline="") as f:
+        out = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\n")
+        out.writerow(df.columns)
+        for n, row in enumerate(df.toLocalIterator(), 1):
+            if n > limit:
+                raise ValueError(f"more than {limit} rows")
+            out.writerow(["" if v is None else v for v in row])
+    os.replace(f"{path}.tmp", path)
+    return n
 
 
 def write_text(path: str, text: str) -> None:

@@ -106,3 +106,12 @@ def test_resume_reads_each_file_once(spark, tmp_path):
         put(name)
         ingest.resume(ingest.read(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "ck"))
         assert spark.read.parquet(str(tmp_path / "out")).count() == 4 * k
+
+
+def test_report_csv(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "b"'), (None, "c,d")], "x long, y string")
+    assert tables.report_csv(rows, str(tmp_path / "r.csv")) == 2
+    assert sorted((tmp_path / "r.csv").read_text().splitlines()) == ['"","c,d"', '"1","a ""b"""', '"x","y"']
+    with pytest.raises(ValueError):
+        tables.report_csv(rows, str(tmp_path / "s.csv"), 1)
+    assert not (tmp_path / "s.csv").exists()
