@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import csv
+import csv as csv_files
 import json
 import os
 import shutil
@@ -101,7 +101,7 @@ def report_csv(df: DataFrame, path: str, limit: int = 1_000_000) -> int:
     """A report as one CSV file, all values quoted; rows come a partition at a time; more than `limit` raise."""
     n = 0
     with open(f"{path}.tmp", "w", encoding="utf-8", newline="") as f:
-        out = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\n")
+        out = csv_files.writer(f, quoting=csv_files.QUOTE_ALL, lineterminator="\n")
         out.writerow(df.columns)
         for n, row in enumerate(df.toLocalIterator(), 1):
             if n > limit:
