@@ -14,8 +14,9 @@ words or more, so shorter sets match only equal ones.
    overlap can still be reached) and a bound from 64-bit maps of the prefixes: sets that match share so many words of
    their prefixes that few bits of one are missing in the other.
 4. Pairs are verified on the whole sets, whose lines alone are cut into words again: first, of each word, those of an entry
-   with the earliest one and with its neighbours in order of the maps; then the entries that are still without an earlier
-   match with all that are earlier, so that a family of like lines gives no square of its size.
+   with the earliest one and with its neighbours in order of the maps; then those of the entries left with one in SAMPLED of
+   the earlier ones, which tells most of the later ones of a family of like lines; then the entries that are still without
+   an earlier match with all that are earlier.
 
 A word in a third of all lines comes last in every order, so it is in the prefix of few entries: those of frequent words
 alone, which are few as sets are distinct. Words of a counter above SALT are spread over several tasks in the first
@@ -36,8 +37,8 @@ from .shared import BROADCAST_IDS, cut, free, let, numbered, release
 
 #: COUNTERS = 2 ** BITS; a counter above 2 ** SALT lines is spread.
 PERCENT, LEAST, BITS, SALT = 85, 1, 18, 20
-#: Words of a prefix by which entries first meet.
-HEADS = 3
+#: Words of a prefix by which entries first meet; one in SAMPLED earlier entries is met before all are.
+HEADS, SAMPLED = 3, 16
 COUNTERS = 1 << BITS
 #: Marks, in a place within a prefix, entries that have an earlier match.
 GONE = 1 << 30
@@ -163,17 +164,25 @@ def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, l
     found = found.select("id", F.explode(F.array("h", "l")).alias("o")).where("o is not null")
     some = later_of(found.select(F.least("id", "o").alias("id_a"), F.greatest("id", "o").alias("id_b")))
 
-    # those left are compared with all that are earlier; both sides have the same columns, so that one shuffle serves both
-    gone = some.select("id", F.lit(GONE).alias("gone"))
-    gone = F.broadcast(gone) if some.count() <= BROADCAST_IDS else gone
+    def compared(late: DataFrame, early: DataFrame) -> DataFrame:
+        """later_of the pairs of a late row and an early one, which share a word and whose places may be so ordered."""
+        side = lambda r, x: r.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at", "bits", "whole", "d")])
+        a = lambda c: F.col("at_a").bitwiseAND(F.lit(GONE - 1)) if c == "at" else F.col(f"{c}_a")
+        met = side(early, "a").join(side(late, "b"), "key").where((F.col("id_a") != F.col("id_b")) & (F.col("d_a") <= F.col("d_b")) & fits(a, lambda c: F.col(f"{c}_b"), percent))
+        return later_of(met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
+
+    # of a family that shares words, a part of the earlier ones tells most of the later ones; then those left meet all that
+    # are earlier; both sides have the same columns, so that one shuffle serves both
+    known = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+    fresh = entries.withColumn("gone", F.lit(0))
+    many = compared(rows_of(fresh.join(known, "id", "left_anti")), rows_of(fresh.where(F.pmod("id", F.lit(SAMPLED)) == 0)))
+    gone = some.union(many).select("id", F.lit(GONE).alias("gone")).distinct()
+    gone = F.broadcast(gone) if some.count() + many.count() <= BROADCAST_IDS else gone
     rows = rows_of(entries.join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0))))
-    side = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at", "bits", "whole", "d")])
-    a = lambda c: F.col("at_a").bitwiseAND(F.lit(GONE - 1)) if c == "at" else F.col(f"{c}_a")
-    met = side("a").join(side("b"), "key").where((F.col("id_a") != F.col("id_b")) & (F.col("d_a") <= F.col("d_b")) & fits(a, lambda c: F.col(f"{c}_b"), percent))
-    rest = later_of(met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
-    later = some.union(rest).select("p.*").distinct()
+    rest = compared(rows, rows)
+    later = some.union(many).union(rest).select("p.*").distinct()
     removed = cut(later.union(copies).groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
-    release(entries, copies, some, rest)
+    release(entries, copies, some, many, rest)
     return removed
 
 
