@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commands, ip, paths
+from ..functions.text import MISSING
 from ..operators import audit, entities, intake, relational, selection, taxonomy, windows
 from ..sources.normalize import normalize
 from ..state import cut
@@ -34,13 +35,32 @@ def taxonomy_t6(spark, sf_dir):
 GROUP_SQL = "CASE WHEN upper(trim({0})) IN ('PROCESS', 'THREAD') THEN 'process_activity' WHEN upper(trim({0})) = 'FILE' THEN 'file_activity' WHEN upper(trim({0})) = 'MODULE' THEN 'module_activity' WHEN upper(trim({0})) = 'FLOW' THEN 'network_activity' WHEN upper(trim({0})) IN ('REGISTRY', 'SERVICE', 'TASK') THEN 'configuration_activity' WHEN upper(trim({0})) = 'USER_SESSION' THEN 'identity_session_activity' ELSE 'other_activity' END"
 
 
-@query(f"WITH {EV}, {COMPACT} SELECT DISTINCT object_raw AS raw_object_type, action_raw AS raw_action_type, {GROUP_SQL.format('object_raw')} AS semantic_group FROM c")
+RULE_SQL = "CASE WHEN upper(trim({0})) IN ('PROCESS', 'THREAD') THEN 'object_type_in_PROCESS_THREAD' WHEN upper(trim({0})) IN ('FILE', 'MODULE', 'FLOW', 'USER_SESSION') THEN 'object_type_' || upper(trim({0})) WHEN upper(trim({0})) IN ('REGISTRY', 'SERVICE', 'TASK') THEN 'object_type_in_REGISTRY_SERVICE_TASK' ELSE 'object_type_missing_or_unrecognized' END"
+T7_SQL = f"SELECT DISTINCT CASE WHEN coalesce(object_raw, '') = '' THEN '{MISSING}' ELSE object_raw END AS raw_object_type, CASE WHEN coalesce(action_raw, '') = '' THEN '{MISSING}' ELSE action_raw END AS raw_action_type, {GROUP_SQL.format('object_raw')} AS semantic_group, {RULE_SQL.format('object_raw')} AS mapping_rule, 'yes' AS keep_raw_fields_yes_no, '{taxonomy.RATIONALE}' AS rationale FROM c"
+
+
+@query(f"WITH {EV}, {COMPACT} {T7_SQL}")
 def taxonomy_t7(spark, sf_dir):
     return taxonomy.t7(_compact(spark, sf_dir))
 
 
-@query(f"""WITH {EV}, {COMPACT}, g AS (SELECT host, to_json([object_type, action_type])::VARCHAR AS pair, count(*) AS total, count(*) FILTER (WHERE period_role = 'verified_benign') AS b, count(*) FILTER (WHERE period_role = 'evaluation') AS v, min(event_time) AS first_seen, arg_min(raw_event_id, k) AS e, arg_min(period_role, k) AS role FROM c GROUP BY 1, 2)
-SELECT 'pattern_' || sha256(to_json([host, pair])::VARCHAR)[1:24] AS pattern_id, host, pair AS object_action_pair, total, b AS benign_count, v AS evaluation_count, first_seen, e AS example_id, CASE WHEN role NOT IN ('verified_benign', 'evaluation') THEN 'unresolved_unassigned' WHEN role = 'evaluation' AND b = 0 THEN 'first_seen_in_evaluation' WHEN b <= 5 THEN 'rare_in_verified_benign' ELSE 'common_in_verified_benign' END AS rarity_status FROM g""")
+@query(f"WITH {EV} SELECT {GROUP_SQL.format('object_raw')} AS semantic_group, {RULE_SQL.format('object_raw')} AS mapping_rule, count(*) AS n FROM ok GROUP BY 1, 2")
+def semantic_map_join(spark, sf_dir):
+    """Parsed events by what the semantic map says of their raw pair."""
+    rows = events(spark, sf_dir).where("parse_status = 'ok' and event_time is not null")
+    return taxonomy.map_events(rows, cut(taxonomy.t7(_compact(spark, sf_dir)))).groupBy("semantic_group", "mapping_rule").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EV}, {COMPACT}, m AS ({T7_SQL}) SELECT raw_object_type, raw_action_type, 'semantic_group' AS disagreement FROM m WHERE semantic_group <> 'other_activity'")
+def semantic_map_disagreements(spark, sf_dir):
+    """A map whose groups are all other_activity against the code."""
+    wrong = taxonomy.t7(_compact(spark, sf_dir)).withColumn("semantic_group", F.lit("other_activity"))
+    return taxonomy.map_disagreements(wrong).select("raw_object_type", "raw_action_type", "disagreement")
+
+
+@query(f"""WITH {EV}, {COMPACT}, g AS (SELECT host, to_json([object_type, action_type])::VARCHAR AS pair, object_type, count(*) AS total, count(*) FILTER (WHERE period_role = 'verified_benign') AS b, count(*) FILTER (WHERE period_role = 'evaluation') AS v, count(*) FILTER (WHERE period_role NOT IN ('verified_benign', 'evaluation')) AS o, arg_min(archive_name, k) AS archive_name, arg_min(member_name, k) AS member_name, arg_min(line_number, k) AS line_number, arg_min(period, k) AS period, min(event_time) AS first_seen, arg_min(raw_event_id, k) AS e, arg_min(period_role, k) AS role FROM c GROUP BY 1, 2, 3)
+SELECT 'pattern_' || sha256(to_json([host, pair])::VARCHAR)[1:24] AS pattern_id, host, pair AS object_action_pair, total, b AS benign_count, v AS evaluation_count, first_seen, e AS example_id, CASE WHEN role NOT IN ('verified_benign', 'evaluation') THEN 'unresolved_unassigned' WHEN role = 'evaluation' AND b = 0 THEN 'first_seen_in_evaluation' WHEN b <= 5 THEN 'rare_in_verified_benign' ELSE 'common_in_verified_benign' END AS rarity_status, archive_name, member_name, line_number, period, {GROUP_SQL.format('object_type')} AS semantic_group,
+CASE WHEN role NOT IN ('verified_benign', 'evaluation') THEN 'Earliest evidence occurs outside verified benign and evaluation intervals (' || o || ' event(s) outside those roles); threshold status is unresolved and descriptive only.' WHEN role = 'evaluation' AND b = 0 THEN 'First observed in an evaluation interval and absent from verified benign intervals; descriptive status only.' WHEN b <= 5 THEN 'Verified-benign frequency ' || b || ' is at or below configured threshold 5; descriptive only.' ELSE 'Verified-benign frequency ' || b || ' exceeds configured threshold 5; descriptive only.' END AS rare_reason FROM g""")
 def taxonomy_t8(spark, sf_dir):
     return taxonomy.t8(_compact(spark, sf_dir))
 
@@ -322,3 +342,23 @@ def normalize_events(spark, sf_dir):
     good = F.format_string('{"id":"e%d","hostname":" h1 ","action":"%s","object":"flow","timestamp":"2024-01-01T02:00:%02d+02:00","properties":{"dest_ip":"10.0.0.%d","dest_port":443,"zz":true}}', "event_id", "event_type", F.col("event_id") % 60, F.col("event_id") % 9)
     lines = e.select(F.concat(F.substring(F.col("ts").cast("string"), 1, 10), F.lit(".tar")).alias("archive_name"), F.lit("ecar/h.json.gz").alias("member_name"), (F.col("event_id") + 1).alias("line_number"), F.when(F.col("event_id") % 50 == 0, "{broken").otherwise(good).alias("line"))
     return normalize(lines).select("archive_name", "line_number", "parse_status", "raw_event_id", "action_raw", "timestamp_parsed", "object_value_raw", "properties_keys_raw", "unmapped_property_keys_raw", "file_id")
+
+
+MANIFEST_SQL = "SELECT archive_filename, member_name, host, readable, sample_status, CAST(valid_lines AS BIGINT) AS valid_lines, CAST(invalid_lines AS BIGINT) AS invalid_lines, first_time, last_time"
+
+
+@query(f"WITH {MEMBERS} {MANIFEST_SQL} FROM el WHERE source_type = 'network'")
+def manifest_quality(spark, sf_dir):
+    """The network members as a manifest, with the inventory's columns on their samples."""
+    rows = selection.eligible(members(spark, sf_dir))
+    out = selection.with_quality(rows.where("source_type = 'network'").select("archive_filename", "member_name", "host"), rows)
+    return out.withColumns({"valid_lines": F.col("valid_lines").cast("long"), "invalid_lines": F.col("invalid_lines").cast("long")})
+
+
+@query(f"""WITH {EV}, m AS (SELECT coalesce(member_name, '') AS name, count(*) AS n FROM ev GROUP BY 1), a AS (SELECT coalesce(archive_name, '') AS name FROM ev GROUP BY 1),
+t AS (SELECT name, n, row_number() OVER (ORDER BY n DESC, name) AS r FROM m)
+SELECT 'events' AS item, '' AS name, count(*) AS n FROM ev UNION ALL SELECT 'ok', '', count(*) FILTER (WHERE parse_status = 'ok') FROM ev UNION ALL SELECT 'not_ok', '', count(*) FILTER (WHERE parse_status IS DISTINCT FROM 'ok') FROM ev
+UNION ALL SELECT 'members', '', count(*) FROM m UNION ALL SELECT 'archives', '', count(*) FROM a
+UNION ALL SELECT 'source_type', coalesce(source_type, 'unknown'), count(*) FROM ev WHERE parse_status = 'ok' GROUP BY 2 UNION ALL SELECT 'top_member', name, n FROM t WHERE r <= 10""")
+def collection_summary(spark, sf_dir):
+    return intake.collection_summary(events(spark, sf_dir))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,69 @@ def test_report_checks():
     for bad in (lambda: checks.chunks(["chunk_00000_a", "chunk_00002_b"]), lambda: checks.wording("a Malicious host")):
         with pytest.raises(AssertionError):
             bad()
+
+
+def test_semantic_map(spark):
+    rows = spark.createDataFrame([("PROCESS", "START"), (" flow", ""), (None, "x"), ("", "x")], "object_raw string, action_raw string")
+    t7 = taxonomy.t7(rows)
+    got = {(r.raw_object_type, r.raw_action_type): (r.semantic_group, r.mapping_rule) for r in t7.collect()}
+    assert got == {
+        ("PROCESS", "START"): ("process_activity", "object_type_in_PROCESS_THREAD"), (" flow", "<MISSING>"): ("network_activity", "object_type_FLOW"),
+        ("<MISSING>", "x"): ("other_activity", "object_type_missing_or_unrecognized"),
+    }
+    assert taxonomy.map_events(rows, t7).where("mapping_rule is null").count() == 0
+    checks.semantic_map(t7)
+    for wrong in (t7.union(t7), t7.withColumn("mapping_rule", F.lit("x")), t7.withColumn("keep_raw_fields_yes_no", F.lit(None).cast("string")), t7.limit(0)):
+        with pytest.raises(AssertionError):
+            checks.semantic_map(wrong)
+
+
+def test_policies_and_settings():
+    benign, short, evaluation = Interval("b", "2024-01-01", "2024-01-03", "verified_benign"), Interval("b", "2024-01-01", "2024-01-01T12:00:00", "verified_benign"), Interval("e", "2024-01-03", "2024-01-04", "evaluation")
+    one_date = Interval("b", "2024-01-01", "2024-01-02", "verified_benign")
+    checks.benign_cover([benign, evaluation])
+    checks.threshold(5, [benign, evaluation])
+    checks.threshold(None, [evaluation])
+    checks.settings(cache_path="x", threads_n=4, least=9.0, target=9.5, most=None)
+    bad = [
+        lambda: checks.benign_cover([benign]), lambda: checks.benign_cover([short, evaluation]), lambda: checks.benign_cover([one_date, evaluation]), lambda: checks.threshold(0, [benign]),
+        lambda: checks.threshold(None, [benign]), lambda: checks.threshold(5, [evaluation]), lambda: checks.settings(cache_path=" "), lambda: checks.settings(threads_n=0),
+        lambda: checks.settings(threads_n=1.5), lambda: checks.settings(threads_n=True), lambda: checks.settings(least=10, most=9),
+    ]
+    for f in bad:
+        with pytest.raises(AssertionError):
+            f()
+
+
+def test_roles_add_up(spark):
+    every, some = (spark.createDataFrame(rows, "period_role string, n long") for rows in ([("evaluation", 5), ("verified_benign", 7)], [("evaluation", 2)]))
+    assert checks.roles(every, some, 12) == {"process_total": 2, "process_evaluation": 2}
+    for f in (lambda: checks.roles(every, some, 13), lambda: checks.roles(some, every, 2)):
+        with pytest.raises(AssertionError):
+            f()
+
+
+def test_smoke_and_manifest_quality(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "b.json").write_text('{\n"a": 1}')
+    (tmp_path / "c.jsonl").write_text("{no")
+    (tmp_path / "d.tar").write_text("no archive")
+    (tmp_path / "e.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "f.bin").write_text("x")
+    with tarfile.open(tmp_path / "g.tar", "w") as t:
+        t.add(tmp_path / "a.json", "a.json")
+    got = {r.path[-6:]: (r.parser, r.parse_status.split(":")[0]) for r in intake.smoke_test(intake.files(spark, str(tmp_path))).collect()}
+    assert got == {
+        "a.json": ("json_line_reader", intake.READ), "b.json": ("json_full_reader", intake.READ), ".jsonl": ("json_line_reader", "parse_error"), "/d.tar": ("tar_smoke_parser", "tar_open_failed"),
+        "/e.csv": ("pandas_csv_tsv", intake.READ), "/f.bin": intake.NOT_TRIED, "/g.tar": ("tar_smoke_parser", intake.OPENED),
+    }
+    inventory = spark.createDataFrame([("a", "m", "yes", "sample_ok", 1, 0, "t", "u")], "archive_filename string, member_name string, readable string, sample_status string, valid_lines int, invalid_lines int, first_time string, last_time string")
+    chosen = spark.createDataFrame([("a", "m", "x"), ("a", "n", None)], "archive_filename string, member_name string, readable string")
+    rows = {r.member_name: r for r in selection.with_quality(chosen, inventory).collect()}
+    assert (rows["m"].readable, rows["m"].readable_inv, rows["n"].valid_lines) == ("x", "yes", None)
+
+
+def test_collection_summary(spark):
+    rows = [("m", "a", "endpoint", "ok")] * 3 + [("n", "a", None, "ok"), (None, None, "network", None)]
+    got = {(r.item, r.name): r.n for r in intake.collection_summary(spark.createDataFrame(rows, "member_name string, archive_name string, source_type string, parse_status string"), 1).collect()}
+    assert got == {("events", ""): 5, ("ok", ""): 4, ("not_ok", ""): 1, ("members", ""): 3, ("archives", ""): 2, ("source_type", "endpoint"): 3, ("source_type", "unknown"): 1, ("top_member", "m"): 3}
