@@ -11,12 +11,13 @@ words or more, so shorter sets match only equal ones.
 2. Lines of one set (named by 64 bits) are one entry: the first stays, the later ones go.
 3. Each entry gives a row for each word of its prefix, n - ceil(t n) + 1 words: two sets that match share a word of their
    prefixes. Rows that meet at a word pass the length filter, the positional filter (with the words left in both, the
-   overlap can still be reached) and a bound from 64-bit maps of the prefixes: sets that match share so many words of
-   their prefixes that few bits of one are missing in the other.
-4. Pairs are verified on the whole sets, whose lines alone are cut into words again: first, of each word, those of an entry
-   with the earliest one and with its neighbours in order of the maps; then those of the entries left with one in SAMPLED of
-   the earlier ones, which tells most of the later ones of a family of like lines; then the entries that are still without
-   an earlier match with all that are earlier.
+   overlap can still be reached) and bounds from maps of 128 bits of the prefixes and of 64 of the sets: sets that match
+   share so many words that few bits of one are missing in the other. The prefixes' map is the wider one, since prefixes
+   of long lines would fill 64 bits and let nearly all pass.
+4. Pairs are verified on the whole sets, whose lines alone are cut into words again: first, of HEADS words, those of an entry
+   with the earliest one and with its neighbours in order of the maps; then, by words of 2 ** MANY lines or more, those of the
+   entries left with one in SAMPLED of the earlier ones, which tells most of the later ones of a large family of like lines;
+   then the entries that are still without an earlier match with all that are earlier.
 
 A word in a third of all lines comes last in every order, so it is in the prefix of few entries: those of frequent words
 alone, which are few as sets are distinct. Words of a counter above SALT are spread over several tasks in the first
@@ -36,10 +37,15 @@ from pyspark.sql.window import Window
 from .shared import BROADCAST_IDS, cut, free, let, numbered, release
 
 #: COUNTERS = 2 ** BITS; a counter above 2 ** SALT lines is spread.
-PERCENT, LEAST, BITS, SALT = 85, 1, 18, 20
+PERCENT, LEAST, BITS, SALT = 85, 1, 20, 20
 #: Words of a prefix by which entries first meet; one in SAMPLED earlier entries is met before all are.
-HEADS, SAMPLED = 3, 16
+HEADS, SAMPLED = 1, 16
+#: Binary logarithms of a counter's lines: heads are such words if there are any, and only such words meet sampled entries;
+#: of a rarer word all pairs are few for each line.
+FEW, MANY = 7, 8
 COUNTERS = 1 << BITS
+#: Maps of an entry: of its prefix, in two halves, and of its whole set.
+MAPS = ("bits", "more", "whole")
 #: Marks, in a place within a prefix, entries that have an earlier match.
 GONE = 1 << 30
 
@@ -76,7 +82,8 @@ def levels(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keyed(line: Column, turns: Column) -> Column:
     """The set of a flat line as sorted keys, rare words first."""
-    key = lambda w: F.get(turns, _counter(F.xxhash64(w))).bitwiseXOR(F.xxhash64(w))
+    # no key is null, and Spark sorts longs that can't be null without boxing them
+    key = lambda w: F.coalesce(F.get(turns, _counter(F.xxhash64(w))), F.lit(0).cast("long")).bitwiseXOR(F.xxhash64(w))
     return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), key)))
 
 
@@ -86,37 +93,44 @@ def bitmap(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(one(x.bitwiseAND(F.lit(63)))))
 
 
+def bitmaps(keys: Column) -> list[Column]:
+    """A 128-bit map of the keys' last seven bits, in two halves."""
+    side = lambda half: F.filter(keys, lambda x: x.bitwiseAND(F.lit(64)) == half)
+    return [bitmap(side(0)), bitmap(side(64))]
+
+
 def prefix_size(n: Column, percent: int) -> Column:
     """Words of a prefix; a set too short for any match but an equal one, which its id finds, has none."""
     return F.when(n * (100 - percent) < percent, 0).otherwise(n - F.ceil(n * percent / 100).cast("int") + 1)
 
 
 def fits(x, y, percent: int) -> Column:
-    """Whether two entries' rows of one word can be of a match; x and y give the columns n, at, bits and whole of each."""
+    """Whether two entries' rows of one word can be of a match; x and y give the columns n, at, bits, more and whole of each."""
     need = F.ceil((x("n") + y("n")) * percent / (100 + percent))
-    left = 1 + F.least(x("n") - x("at") - 1, y("n") - y("at") - 1)
+    left = F.least(x("n") - x("at"), y("n") - y("at")).cast("long")
     # of a match's overlap at most the larger rest behind a prefix lies outside both prefixes
     shared = need - F.greatest(x("n") - prefix_size(x("n"), percent), y("n") - prefix_size(y("n"), percent))
     missing = lambda c, p, q: F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c))))
-    spare = lambda p, q: (missing("bits", p, q) <= prefix_size(p("n"), percent) - shared) & (missing("whole", p, q) <= p("n") - need)
-    return (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & (left >= need) & spare(x, y) & spare(y, x)
+    spare = lambda p, q: (missing("bits", p, q) + missing("more", p, q) <= prefix_size(p("n"), percent) - shared) & (missing("whole", p, q) <= p("n") - need)
+    reached = (100 + percent) * left >= percent * (x("n") + y("n"))
+    return (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & reached & spare(x, y) & spare(y, x)
 
 
 def entries_of(docs: DataFrame, text: str, percent: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """The entries (id, first, n, bits, whole, prefix) and the places (doc_id, row, line_no) of their later copies."""
+    """The entries (id, first, n, bits, more, whole, prefix) and the places (doc_id, row, line_no) of their later copies."""
     turns = cut(levels(docs, text))
     lines = docs.select("doc_id", "row", F.posexplode(F.split(flat(F.col(text)), "\n")).alias("line_no", "line")).withColumn("turns", turns.scalar())
 
     def made(v: Column) -> Column:
         head = F.slice(v, 1, prefix_size(F.size(v), percent))
-        return F.struct(F.xxhash64(v).alias("id"), F.size(v).alias("n"), bitmap(head).alias("bits"), bitmap(v).alias("whole"), head.alias("prefix"))
+        return F.struct(F.xxhash64(v).alias("id"), F.size(v).alias("n"), *[m.alias(c) for m, c in zip(bitmaps(head), ("bits", "more"))], bitmap(v).alias("whole"), head.alias("prefix"))
 
     # the projection takes the levels in, so that no row carries them; the generator keeps filters from making sets twice
     lines = lines.select("doc_id", "row", "line_no", keyed(F.col("line"), F.col("turns")).alias("v"))
     each = F.when(F.size("v") >= least, F.array(made(F.col("v"))))
     lines = cut(lines.select("doc_id", "row", "line_no", F.explode(each).alias("x")).select("doc_id", "row", "line_no", "x.*"))
-    entries = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", "bits", "whole", "prefix")).alias("x"), F.count("*").alias("copies"))
-    entries = cut(entries.select("id", F.struct("x.doc_id", "x.row", "x.line_no").alias("first"), "x.n", "x.bits", "x.whole", "x.prefix", "copies"))
+    entries = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", *MAPS, "prefix")).alias("x"), F.count("*").alias("copies"))
+    entries = cut(entries.select("id", F.struct("x.doc_id", "x.row", "x.line_no").alias("first"), "x.n", *[f"x.{c}" for c in MAPS], "x.prefix", "copies"))
     place = F.struct("doc_id", "row", "line_no")
     copies = cut(lines.join(entries.where("copies > 1").select("id", "first"), "id").where(place != F.col("first")).select("doc_id", "row", "line_no"))
     release(lines, turns)
@@ -129,8 +143,8 @@ def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, l
 
     def later_of(pairs: DataFrame) -> DataFrame:
         """id and p, the place, of the later entry of each pair (id_a, id_b) that matches."""
-        often = cut(pairs.distinct())
-        ids = often.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+        met = cut(pairs.distinct())
+        ids = met.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
         told = cut(entries.select("id", "first").join(ids, "id"))
         places = told.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row")).agg(F.collect_list(F.struct("id", "first")).alias("found"))
         places = F.broadcast(places) if told.count() <= BROADCAST_IDS // 4 else places
@@ -140,23 +154,27 @@ def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, l
         sets = cut(sets.dropDuplicates(["id"]))
         side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.struct("first", "id").alias(f"p_{x}"), F.col("s").alias(f"s_{x}"))
         both = F.size(F.array_intersect("s_a", "s_b"))
-        matched = often.join(side("a"), "id_a").join(side("b"), "id_b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both))
+        matched = met.join(side("a"), "id_a").join(side("b"), "id_b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both))
         later = cut(matched.select(F.greatest("p_a", "p_b").alias("x")).distinct().select("x.id", F.col("x.first").alias("p")))
-        release(often, told, sets)
+        release(met, told, sets)
         return later
 
+    def often(key: Column, power: int) -> Column:
+        """Whether a key's counter has 2 ** power lines or more."""
+        return key >= F.lit(4 * power << 56)
+
     def rows_of(found: DataFrame) -> DataFrame:
         """A row for each word of an entry's prefix; d is the doc_id, null lowest."""
         d = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(2**63)))
-        return found.select("id", "n", "bits", "whole", d.alias("d"), "gone", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at") + F.col("gone")).drop("gone")
+        return found.select("id", "n", *MAPS, d.alias("d"), "gone", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at") + F.col("gone")).drop("gone")
 
     # most lines of a family match the earliest of those that share one of HEADS words, or a neighbour in order of the maps
     level = F.call_function("shiftrightunsigned", "key", F.lit(56))
-    chosen = lambda v: F.transform(F.slice(F.sort_array(F.transform(v, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("i")))), 1, HEADS), lambda x: x["i"])
-    rows = entries.select("id", F.col("first.doc_id").alias("d"), "n", "bits", "whole", "prefix", F.explode(chosen(F.col("prefix"))).alias("at")).withColumn("key", F.get("prefix", "at")).drop("prefix")
+    chosen = lambda v: F.transform(F.slice(F.sort_array(F.transform(v, lambda x, i: F.struct((~often(x, FEW)).alias("rare"), F.xxhash64(x).alias("h"), i.alias("i")))), 1, HEADS), lambda x: x["i"])
+    rows = entries.select("id", F.col("first.doc_id").alias("d"), "n", *MAPS, "prefix", F.explode(chosen(F.col("prefix"))).alias("at")).withColumn("key", F.get("prefix", "at")).drop("prefix")
     rows = rows.withColumn("salt", F.pmod("id", F.ceil(F.pow(F.lit(2.0), level / 4 - SALT))))
     w = Window.partitionBy("key", "salt").orderBy("bits", "id")
-    told = ["id", "n", "at", "bits", "whole"]
+    told = ["id", "n", "at", *MAPS]
     head = F.min(F.struct("d", *told)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     met = rows.withColumns({"h": head, "l": F.lag(F.struct(*told)).over(w)})
     other = lambda x: F.when((F.col(x)["id"] != F.col("id")) & fits(F.col, lambda c: F.col(x)[c], percent), F.col(x)["id"])
@@ -166,7 +184,7 @@ def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, l
 
     def compared(late: DataFrame, early: DataFrame) -> DataFrame:
         """later_of the pairs of a late row and an early one, which share a word and whose places may be so ordered."""
-        side = lambda r, x: r.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at", "bits", "whole", "d")])
+        side = lambda r, x: r.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at", *MAPS, "d")])
         a = lambda c: F.col("at_a").bitwiseAND(F.lit(GONE - 1)) if c == "at" else F.col(f"{c}_a")
         met = side(early, "a").join(side(late, "b"), "key").where((F.col("id_a") != F.col("id_b")) & (F.col("d_a") <= F.col("d_b")) & fits(a, lambda c: F.col(f"{c}_b"), percent))
         return later_of(met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
@@ -175,7 +193,8 @@ def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, l
     # are earlier; both sides have the same columns, so that one shuffle serves both
     known = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
     fresh = entries.withColumn("gone", F.lit(0))
-    many = compared(rows_of(fresh.join(known, "id", "left_anti")), rows_of(fresh.where(F.pmod("id", F.lit(SAMPLED)) == 0)))
+    hot = lambda found: rows_of(found).where(often(F.col("key"), MANY))
+    many = compared(hot(fresh.join(known, "id", "left_anti")), hot(fresh.where(F.pmod("id", F.lit(SAMPLED)) == 0)))
     gone = some.union(many).select("id", F.lit(GONE).alias("gone")).distinct()
     gone = F.broadcast(gone) if some.count() + many.count() <= BROADCAST_IDS else gone
     rows = rows_of(entries.join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0))))

@@ -115,6 +115,20 @@ def test_lines(docs, none):
     assert lines.digest(none).count() == 0 and "kept" in lines.dedup_lines(docs).columns
 
 
+def test_long_lines_pass_few_candidates(spark):
+    """Of long lines that share a rare word alone, few pairs pass the filters, and lines that match still do."""
+    r = random.Random(41)
+    texts = {i: " ".join(["shared", *(f"{i}_{r.random()}" for _ in range(r.randrange(190, 206)))]) for i in range(60)}
+    texts |= {100 + i: edited(texts[i], 9, i) for i in range(3)}
+    entries = lines.entries_of(shared.numbered(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "text", lines.PERCENT, lines.LEAST)[0]
+    # every entry as a row of its first word, as if all met there
+    side = lambda x: entries.select(*[F.col(c).alias(f"{c}_{x}") for c in entries.columns], F.lit(0).alias(f"at_{x}"))
+    pairs = side("a").join(side("b"), F.col("first_a.doc_id") < F.col("first_b.doc_id"))
+    of = lambda x: lambda c: F.col(f"{c}_{x}")
+    got = {(p.a, p.b) for p in pairs.where(lines.fits(of("a"), of("b"), lines.PERCENT)).select(F.col("first_a.doc_id").alias("a"), F.col("first_b.doc_id").alias("b")).collect()}
+    assert {(i, 100 + i) for i in range(3)} <= got and len(got) < pairs.count() / 2
+
+
 def test_pipeline_lines_of_few_words(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     texts = {
