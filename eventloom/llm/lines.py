@@ -11,9 +11,8 @@ words or more, so shorter sets match only equal ones.
 2. Lines of one set (named by 64 bits) are one entry: the first stays, the later ones go.
 3. Each entry gives a row for each word of its prefix, n - ceil(t n) + 1 words: two sets that match share a word of their
    prefixes. Rows that meet at a word pass the length filter, the positional filter (with the words left in both, the
-   overlap can still be reached) and bounds from maps of 128 bits of the prefixes and of 64 of the sets: sets that match
-   share so many words that few bits of one are missing in the other. The prefixes' map is the wider one, since prefixes
-   of long lines would fill 64 bits and let nearly all pass.
+   overlap can still be reached) and a bound from maps of 128 bits of the first SHORT words, or of a longer prefix: sets that
+   match share so many of them that few bits of one are missing in the other. A word that is in one line alone has no row.
 4. Pairs are verified on the whole sets, whose lines alone are cut into words again: first, of HEADS words, those of an entry
    with the earliest one and with its neighbours in order of the maps; then, by words of 2 ** MANY lines or more, those of the
    entries left with one in SAMPLED of the earlier ones, which tells most of the later ones of a large family of like lines;
@@ -30,6 +29,8 @@ result; other columns stay whatever their names, but a column with the name of a
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,18 +45,21 @@ HEADS, SAMPLED = 3, 16
 #: of a rarer word all pairs are few for each line.
 FEW, MANY = 7, 8
 COUNTERS = 1 << BITS
-#: Maps of an entry: of its prefix, in two halves, and of its whole set.
-MAPS = ("bits", "more", "whole")
+#: White space within a line but the blank.
+WHITE = "\t\x0b\x0c\r"
+#: Map of an entry's first words, in two halves: of SHORT words, without a loop over arrays, or of a longer prefix.
+MAPS, SHORT = ("bits", "more"), 32
 #: Marks, in a place within a prefix, entries that have an earlier match.
 GONE = 1 << 30
 
 
 def flat(text: Column) -> Column:
     """Text with blanks for white space but line ends."""
-    text = F.coalesce(text, F.lit(""))
-    for c in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
+    text, out = F.coalesce(text, F.lit("")), F.coalesce(text, F.lit(""))
+    for c in WHITE:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    # a search is many times cheaper than a replacement that finds nothing
+    return F.when(functools.reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in WHITE]), out).otherwise(text)
 
 
 def hashes(line: Column) -> Column:
@@ -70,7 +74,7 @@ def _counter(h: Column) -> Column:
 def levels(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row, one array: for each counter, what turns the first 8 bits of a hash into the counter's level, 0 to 127: its
     count over all lines, on a logarithmic scale."""
-    word = docs.select(F.explode(F.split(F.replace(flat(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    word = docs.select(F.explode(F.split(flat(F.col(text)), "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
     counted = word.select(_counter(F.xxhash64("w")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     level = F.coalesce(F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 4)).cast("long"), F.lit(0).cast("long"))
     c = F.col("c").cast("long")
@@ -83,8 +87,8 @@ def levels(docs: DataFrame, text: str = "text") -> DataFrame:
 def keyed(line: Column, turns: Column) -> Column:
     """The set of a flat line as sorted keys, rare words first."""
     # no key is null, and Spark sorts longs that can't be null without boxing them
-    key = lambda w: F.coalesce(F.get(turns, _counter(F.xxhash64(w))), F.lit(0).cast("long")).bitwiseXOR(F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), key)))
+    key = lambda h: F.coalesce(F.get(turns, _counter(h)), F.lit(0).cast("long")).bitwiseXOR(h)
+    return F.sort_array(F.transform(hashes(line), key))
 
 
 def bitmap(keys: Column) -> Column:
@@ -93,46 +97,56 @@ def bitmap(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(one(x.bitwiseAND(F.lit(63)))))
 
 
-def bitmaps(keys: Column) -> list[Column]:
-    """A 128-bit map of the keys' last seven bits, in two halves."""
-    side = lambda half: F.filter(keys, lambda x: x.bitwiseAND(F.lit(64)) == half)
-    return [bitmap(side(0)), bitmap(side(64))]
-
-
 def prefix_size(n: Column, percent: int) -> Column:
     """Words of a prefix; a set too short for any match but an equal one, which its id finds, has none."""
     return F.when(n * (100 - percent) < percent, 0).otherwise(n - F.ceil(n * percent / 100).cast("int") + 1)
 
 
+def mapped_size(n: Column, percent: int) -> Column:
+    """Words that an entry's map holds: SHORT, or a prefix that is longer."""
+    return F.greatest(prefix_size(n, percent), F.least(n, F.lit(SHORT)))
+
+
+def bitmaps(keys: Column, percent: int) -> list[Column]:
+    """A 128-bit map of the last seven bits of the first keys, in two halves."""
+    zero, size = F.lit(0).cast("long"), prefix_size(F.size(keys), percent)
+
+    def side(half: int) -> Column:
+        out = zero
+        for i in range(SHORT):
+            x = F.coalesce(F.get(keys, F.lit(i)), F.lit(64 - half).cast("long"))
+            out = out.bitwiseOR(F.when(x.bitwiseAND(F.lit(64)) == half, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(zero))
+        return F.when(size <= SHORT, out).otherwise(bitmap(F.filter(F.slice(keys, 1, size), lambda x: x.bitwiseAND(F.lit(64)) == half)))
+
+    return [side(0), side(64)]
+
+
 def fits(x, y, percent: int) -> Column:
-    """Whether two entries' rows of one word can be of a match; x and y give the columns n, at, bits, more and whole of each."""
+    """Whether two entries' rows of one word can be of a match; x and y give the columns n, at, bits and more of each."""
     need = F.ceil((x("n") + y("n")) * percent / (100 + percent))
     left = F.least(x("n") - x("at"), y("n") - y("at")).cast("long")
-    # of a match's overlap at most the larger rest behind a prefix lies outside both prefixes
-    shared = need - F.greatest(x("n") - prefix_size(x("n"), percent), y("n") - prefix_size(y("n"), percent))
+    # of a match's overlap at most the larger rest behind the mapped words lies outside both maps
+    shared = need - F.greatest(x("n") - mapped_size(x("n"), percent), y("n") - mapped_size(y("n"), percent))
     missing = lambda c, p, q: F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c))))
-    spare = lambda p, q: (missing("bits", p, q) + missing("more", p, q) <= prefix_size(p("n"), percent) - shared) & (missing("whole", p, q) <= p("n") - need)
+    spare = lambda p, q: missing("bits", p, q) + missing("more", p, q) <= mapped_size(p("n"), percent) - shared
     reached = (100 + percent) * left >= percent * (x("n") + y("n"))
     return (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & reached & spare(x, y) & spare(y, x)
 
 
 def entries_of(docs: DataFrame, text: str, percent: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """The entries (id, first, n, bits, more, whole, prefix) and the places (doc_id, row, line_no) of their later copies."""
+    """The entries (id, first, n, bits, more, prefix) and the places (doc_id, row, line_no) of their later copies."""
     turns = cut(levels(docs, text))
     lines = docs.select("doc_id", "row", F.posexplode(F.split(flat(F.col(text)), "\n")).alias("line_no", "line")).withColumn("turns", turns.scalar())
 
-    def made(v: Column) -> Column:
-        head = F.slice(v, 1, prefix_size(F.size(v), percent))
-        return F.struct(F.xxhash64(v).alias("id"), F.size(v).alias("n"), *[m.alias(c) for m, c in zip(bitmaps(head), ("bits", "more"))], bitmap(v).alias("whole"), head.alias("prefix"))
-
-    # the projection takes the levels in, so that no row carries them; the generator keeps filters from making sets twice
+    # the projection takes the levels in, so that no row carries them; short lines go once written, as a filter here would make sets twice
     lines = lines.select("doc_id", "row", "line_no", keyed(F.col("line"), F.col("turns")).alias("v"))
-    each = F.when(F.size("v") >= least, F.array(made(F.col("v"))))
-    lines = cut(lines.select("doc_id", "row", "line_no", F.explode(each).alias("x")).select("doc_id", "row", "line_no", "x.*"))
-    entries = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", *MAPS, "prefix")).alias("x"), F.count("*").alias("copies"))
+    maps = [m.alias(c) for m, c in zip(bitmaps(F.col("v"), percent), MAPS)]
+    lines = cut(lines.select("doc_id", "row", "line_no", F.xxhash64("v").alias("id"), F.size("v").alias("n"), *maps, F.slice("v", 1, prefix_size(F.size("v"), percent)).alias("prefix")))
+    sets = lines.where(F.col("n") >= least)
+    entries = sets.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", *MAPS, "prefix")).alias("x"), F.count("*").alias("copies"))
     entries = cut(entries.select("id", F.struct("x.doc_id", "x.row", "x.line_no").alias("first"), "x.n", *[f"x.{c}" for c in MAPS], "x.prefix", "copies"))
     place = F.struct("doc_id", "row", "line_no")
-    copies = cut(lines.join(entries.where("copies > 1").select("id", "first"), "id").where(place != F.col("first")).select("doc_id", "row", "line_no"))
+    copies = cut(sets.join(entries.where("copies > 1").select("id", "first"), "id").where(place != F.col("first")).select("doc_id", "row", "line_no"))
     release(lines, turns)
     return entries, copies
 
@@ -163,15 +177,22 @@ def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, l
         """Whether a key's counter has 2 ** power lines or more."""
         return key >= F.lit(4 * power << 56)
 
+    def shared(key: Column) -> Column:
+        """Whether a key's word may be in two lines: its counter has more than one."""
+        return key >= F.lit(1 << 56)
+
     def rows_of(found: DataFrame) -> DataFrame:
         """A row for each word of an entry's prefix; d is the doc_id, null lowest."""
         d = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(2**63)))
-        return found.select("id", "n", *MAPS, d.alias("d"), "gone", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at") + F.col("gone")).drop("gone")
+        return found.select("id", "n", *MAPS, d.alias("d"), "gone", F.posexplode("prefix").alias("at", "key")).where(shared(F.col("key"))).withColumn("at", F.col("at") + F.col("gone")).drop("gone")
 
     # most lines of a family match the earliest of those that share one of HEADS words, or a neighbour in order of the maps
     level = F.call_function("shiftrightunsigned", "key", F.lit(56))
-    chosen = lambda v: F.transform(F.slice(F.sort_array(F.transform(v, lambda x, i: F.struct((~often(x, FEW)).alias("rare"), F.xxhash64(x).alias("h"), i.alias("i")))), 1, HEADS), lambda x: x["i"])
-    rows = entries.select("id", F.col("first.doc_id").alias("d"), "n", *MAPS, "prefix", F.explode(chosen(F.col("prefix"))).alias("at")).withColumn("key", F.get("prefix", "at")).drop("prefix")
+    # a word's order among heads (frequent ones first, then by hash) and its place, as one number
+    order = lambda x, i: F.call_function("shiftleft", x.bitwiseAND(F.lit((1 << 42) - 1)), F.lit(20)).bitwiseOR(F.least(i, F.lit((1 << 20) - 1)).cast("long")) + F.when(often(x, FEW), F.lit(0).cast("long")).otherwise(F.lit(1 << 62))
+    chosen = lambda v: F.slice(F.sort_array(F.transform(v, order)), 1, HEADS)
+    rows = entries.select("id", F.col("first.doc_id").alias("d"), "n", *MAPS, "prefix", F.explode(chosen(F.col("prefix"))).alias("at"))
+    rows = rows.withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")).withColumn("key", F.get("prefix", "at")).drop("prefix").where(shared(F.col("key")))
     rows = rows.withColumn("salt", F.pmod("id", F.ceil(F.pow(F.lit(2.0), level / 4 - SALT))))
     w = Window.partitionBy("key", "salt").orderBy("bits", "id")
     told = ["id", "n", "at", *MAPS]

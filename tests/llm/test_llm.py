@@ -129,6 +129,20 @@ def test_long_lines_pass_few_candidates(spark):
     assert {(i, 100 + i) for i in range(3)} <= got and len(got) < pairs.count() / 2
 
 
+def test_short_lines_alike_pass_few_candidates(spark):
+    """Of lines of 30 words that share 26, too few to match, few pairs pass the filters, and lines that match still do."""
+    r = random.Random(43)
+    same = [f"s{i}" for i in range(26)]
+    texts = {i: " ".join([*same, *(f"{i}_{r.random()}" for _ in range(4))]) for i in range(60)}
+    texts |= {100 + i: texts[i].replace(" s7 ", f" t{i} ") for i in range(3)}
+    entries = lines.entries_of(shared.numbered(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "text", lines.PERCENT, lines.LEAST)[0]
+    side = lambda x: entries.select(*[F.col(c).alias(f"{c}_{x}") for c in entries.columns], F.lit(0).alias(f"at_{x}"))
+    pairs = side("a").join(side("b"), F.col("first_a.doc_id") < F.col("first_b.doc_id"))
+    of = lambda x: lambda c: F.col(f"{c}_{x}")
+    got = {(p.a, p.b) for p in pairs.where(lines.fits(of("a"), of("b"), lines.PERCENT)).select(F.col("first_a.doc_id").alias("a"), F.col("first_b.doc_id").alias("b")).collect()}
+    assert {(i, 100 + i) for i in range(3)} <= got and len(got) < pairs.count() / 8
+
+
 def test_pipeline_lines_of_few_words(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     texts = {
