@@ -75,7 +75,7 @@ def _counter(h: Column) -> Column:
 def levels(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row, one array: for each counter, what turns the first 8 bits of a hash into the counter's level, 0 to 127: its
     count over all lines, on a logarithmic scale."""
-    word = docs.select(F.explode(F.split(flat(F.col(text)), "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
+    word = docs.select(F.explode(F.split(F.replace(flat(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counted = word.select(_counter(F.xxhash64("w")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     level = F.coalesce(F.least(F.lit(127), F.floor(F.log2(F.col("n").cast("double")) * 4)).cast("long"), F.lit(0).cast("long"))
     c = F.col("c").cast("long")
@@ -121,6 +121,24 @@ def fits(x, y, percent: int) -> Column:
     return (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & reached & spare(x, y) & spare(y, x)
 
 
+def often(key: Column, power: int) -> Column:
+    """Whether a key's counter has 2 ** power lines or more."""
+    return key >= F.lit(4 * power << 56)
+
+
+def heads(prefix: Column) -> Column:
+    """HEADS keys of a prefix, frequent ones first, by hash: sorted as longs, whose sign tells frequent ones, with the hash
+    above the level."""
+    low, top = F.lit((1 << 63) - 1), F.lit(-(2**63))
+
+    def turned(key: Column) -> Column:
+        out = F.call_function("shiftleft", key, F.lit(7)).bitwiseAND(low).bitwiseOR(F.call_function("shiftright", key, F.lit(56)))
+        return F.when(often(key, FEW), out.bitwiseOR(top)).otherwise(out)
+
+    back = lambda x: F.call_function("shiftleft", x.bitwiseAND(F.lit(127)), F.lit(56)).bitwiseOR(F.call_function("shiftright", x.bitwiseAND(low), F.lit(7)))
+    return F.transform(F.slice(F.sort_array(F.transform(prefix, turned)), 1, HEADS), back)
+
+
 def entries_of(docs: DataFrame, text: str, percent: int, least: int) -> tuple[DataFrame, DataFrame]:
     """The entries (id, first, n, bits, more, whole, prefix) and the places (doc_id, row, line_no) of their later copies."""
     turns = cut(levels(docs, text))
@@ -128,14 +146,16 @@ def entries_of(docs: DataFrame, text: str, percent: int, least: int) -> tuple[Da
 
     def made(v: Column) -> Column:
         head = F.slice(v, 1, prefix_size(F.size(v), percent))
-        return F.struct(F.xxhash64(v).alias("id"), F.size(v).alias("n"), *[m.alias(c) for m, c in zip(bitmaps(head), ("bits", "more"))], bitmap(v).alias("whole"), head.alias("prefix"))
+        return F.struct(F.xxhash64(v).alias("id"), F.size(v).alias("n"), bitmap(v).alias("whole"), head.alias("prefix"))
 
     # the projection takes the levels in, so that no row carries them; the generator keeps filters from making sets twice
     lines = lines.select("doc_id", "row", "line_no", keyed(F.col("line"), F.col("turns")).alias("v"))
     each = F.when(F.size("v") >= least, F.array(made(F.col("v"))))
     lines = cut(lines.select("doc_id", "row", "line_no", F.explode(each).alias("x")).select("doc_id", "row", "line_no", "x.*"))
-    entries = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", *MAPS, "prefix")).alias("x"), F.count("*").alias("copies"))
-    entries = cut(entries.select("id", F.struct("x.doc_id", "x.row", "x.line_no").alias("first"), "x.n", *[f"x.{c}" for c in MAPS], "x.prefix", "copies"))
+    entries = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no", "n", "whole", "prefix")).alias("x"), F.count("*").alias("copies"))
+    # copies need no maps of their prefixes
+    maps = [m.alias(c) for m, c in zip(bitmaps(F.col("x.prefix")), ("bits", "more"))]
+    entries = cut(entries.select("id", F.struct("x.doc_id", "x.row", "x.line_no").alias("first"), "x.n", *maps, "x.whole", "x.prefix", "copies"))
     place = F.struct("doc_id", "row", "line_no")
     copies = cut(lines.join(entries.where("copies > 1").select("id", "first"), "id").where(place != F.col("first")).select("doc_id", "row", "line_no"))
     release(lines, turns)
@@ -164,10 +184,6 @@ def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, l
         release(met, told, sets)
         return later
 
-    def often(key: Column, power: int) -> Column:
-        """Whether a key's counter has 2 ** power lines or more."""
-        return key >= F.lit(4 * power << 56)
-
     def rows_of(found: DataFrame) -> DataFrame:
         """A row for each word of an entry's prefix; d is the doc_id, null lowest."""
         d = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(2**63)))
@@ -175,8 +191,8 @@ def removed_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, l
 
     # most lines of a family match the earliest of those that share one of HEADS words, or a neighbour in order of the maps
     level = F.call_function("shiftrightunsigned", "key", F.lit(56))
-    chosen = lambda v: F.transform(F.slice(F.sort_array(F.transform(v, lambda x, i: F.struct((~often(x, FEW)).alias("rare"), F.xxhash64(x).alias("h"), i.alias("i")))), 1, HEADS), lambda x: x["i"])
-    rows = entries.select("id", F.col("first.doc_id").alias("d"), "n", *MAPS, "prefix", F.explode(chosen(F.col("prefix"))).alias("at")).withColumn("key", F.get("prefix", "at")).drop("prefix")
+    rows = entries.select("id", F.col("first.doc_id").alias("d"), "n", *MAPS, "prefix", F.explode(heads(F.col("prefix"))).alias("key"))
+    rows = rows.withColumn("at", (F.array_position("prefix", F.col("key")) - 1).cast("int")).drop("prefix")
     rows = rows.withColumn("salt", F.pmod("id", F.ceil(F.pow(F.lit(2.0), level / 4 - SALT))))
     w = Window.partitionBy("key", "salt").orderBy("bits", "id")
     told = ["id", "n", "at", *MAPS]

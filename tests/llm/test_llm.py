@@ -143,6 +143,18 @@ def test_short_lines_alike_pass_few_candidates(spark):
     assert {(i, 100 + i) for i in range(3)} <= got and len(got) < pairs.count() / 8
 
 
+def test_line_heads(spark):
+    """Frequent keys of a prefix come first, each kind by hash, and come back as they were, in plain longs."""
+    r = random.Random(47)
+    key = lambda level: level << 56 | r.getrandbits(56)
+    edge = 4 * lines.FEW
+    rows = [(i, sorted(key(r.choice([0, 3, edge - 1, edge, edge + 9, 127])) for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 5, 9, 20])]
+    docs = spark.createDataFrame(rows, "doc_id long, prefix array<long>")
+    got = dict(docs.select("doc_id", lines.heads(F.col("prefix"))).collect())
+    low = (1 << 56) - 1
+    assert got == {i: sorted(v, key=lambda k: (k >> 56 < edge, k & low))[: lines.HEADS] for i, v in rows}
+
+
 def test_pipeline_lines_of_few_words(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     texts = {
